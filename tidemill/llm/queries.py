@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ship
+from tidemill.llm.common import fold, ship
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,36 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_mixing)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.langid import predict, train
+
+    docs = _documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 5) == 0
+    langs, matrix = train(docs.filter(~held_out).select("lang", "text"))
+    return predict(docs, langs, matrix, held_out)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.secrets import report, scan
+
+    return report(scan(_documents(spark, sf_dir)))
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.tiff import digests
+
+    return digests(_documents(spark, sf_dir))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.fingerprints import edits
+
+    return edits(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_best_fit_packing, op3_mixing, op4_language_id, op6_secret_scan, op9_tiff, op10_order_minhash)
+}
 ORACLE: dict[str, str] = {}
 
 
