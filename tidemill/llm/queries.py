@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.minhash import report
+
+    return report(_documents(spark, sf_dir), k=2)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.mixing import copies
 
@@ -56,7 +62,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_mixing, op4_language_id, op6_secret_scan, op9_tiff, op10_order_minhash)
+    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op6_secret_scan, op9_tiff, op10_order_minhash)
 }
 ORACLE: dict[str, str] = {}
 
