@@ -43,6 +43,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, langs, matrix, held_out)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text_score, meta_score, score, kept."""
+    from tidemill.llm.quality import score, train
+
+    docs = _documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.secrets import report, scan
 
@@ -62,7 +70,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op6_secret_scan, op9_tiff, op10_order_minhash)
+    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op5_quality, op6_secret_scan, op9_tiff, op10_order_minhash)
 }
 ORACLE: dict[str, str] = {}
 
