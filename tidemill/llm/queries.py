@@ -57,6 +57,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(_documents(spark, sf_dir)))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.gru import score
+
+    return score(_documents(spark, sf_dir), fold(F.col("doc_id"), 10) == 0)
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.tiff import digests
 
@@ -70,7 +76,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op5_quality, op6_secret_scan, op9_tiff, op10_order_minhash)
+    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op5_quality, op6_secret_scan, op8_lm_score, op9_tiff, op10_order_minhash)
 }
 ORACLE: dict[str, str] = {}
 
