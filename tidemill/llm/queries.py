@@ -57,6 +57,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(_documents(spark, sf_dir)))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, and the text that is left (NULL where the document goes)."""
+    from tidemill.llm.lines import deduplicate_lines
+
+    return deduplicate_lines(_documents(spark, sf_dir), report=True)
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.gru import score
 
@@ -76,7 +83,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op5_quality, op6_secret_scan, op8_lm_score, op9_tiff, op10_order_minhash)
+    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op5_quality, op6_secret_scan, op7_line_dedup, op8_lm_score, op9_tiff, op10_order_minhash)
 }
 ORACLE: dict[str, str] = {}
 
