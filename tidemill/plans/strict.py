@@ -27,11 +27,9 @@ def run(spark: SparkSession, text: str, enabled: bool = True, **args: object) ->
     check(text)
     try:
         return spark.sql(text, args=args or None)
-    except ParseException as e:
+    except (ParseException, AnalysisException) as e:
         if re.search(r"\b(any|all|some)\s*\(\s*select", text, re.IGNORECASE):
             raise UnsupportedQuery("op ANY/ALL (subquery) has no SQL syntax here: use operators.quantified") from e
         if re.search(r"distinct\s+on\s*\(", text, re.IGNORECASE):
             raise UnsupportedQuery("DISTINCT ON has no SQL syntax here: use operators.distinct_on") from e
         raise UnsupportedQuery(str(e).splitlines()[0]) from e
-    except AnalysisException as e:
-        raise UnsupportedQuery(str(e).splitlines()[0]) from e
