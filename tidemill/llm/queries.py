@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import fold, ship
+from tidemill.llm.oracle import SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +86,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op5_quality, op6_secret_scan, op7_line_dedup, op8_lm_score, op9_tiff, op10_order_minhash)
 }
-ORACLE: dict[str, str] = {}
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(SQL)
