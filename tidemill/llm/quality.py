@@ -38,6 +38,8 @@ META = 64 + 16 + 24
 LAGS, BOOST = (1, 2), 8.0
 #: n-grams of the mean text that are added to every text.
 SHRINK = 100.0
+#: Rare n-grams vary less than this in the sample; scaled by their own deviation they would outweigh all others elsewhere.
+LEAST_STD = 3e-4
 TEXT = (1 << BITS) + len(LAGS)
 
 
@@ -70,7 +72,7 @@ def _sigmoid(x):
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 250) -> Linear:
     """Full-batch Adam on standardized features; the few repeat shares count BOOST times, as each stands for many n-grams."""
     mean, std = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(std > 1e-7, 1 / np.maximum(std, 1e-7), 0).astype(np.float32)
+    scale = np.where(std > 0, 1 / np.maximum(std, LEAST_STD), 0).astype(np.float32)
     if x.shape[1] == TEXT:
         scale[1 << BITS :] *= BOOST
     z = (x - mean) * scale
@@ -90,7 +92,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, step
 def calibrate(model: Linear, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Linear:
     """Platt scaling with smoothed targets, by gradient steps on two parameters."""
     s = x @ model.weights + model.bias
-    unit = float(np.abs(s).mean()) or 1.0
+    unit = float(np.median(np.abs(s))) or 1.0
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y > 0.5, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b, weight, s = 1.0, 0.0, weight / weight.sum(), s / unit
