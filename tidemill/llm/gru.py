@@ -34,7 +34,7 @@ from tidemill.llm.shingles import word_hashes
 
 HIDDEN, CLASSES, MEMBERS = 16, 48, 32
 VOCABULARY = CLASSES * MEMBERS - 2
-#: Words whose counts are broadcast (16 bytes each).
+#: Most words whose counts are broadcast (16 bytes each). A threshold on the count picks them, so no task sorts all words.
 HEAD = 1 << 18
 SAMPLE, SAMPLE_TOKENS = 1500, 400_000
 LANES, WINDOW = 512, 32
@@ -239,7 +239,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def head_of(counts: DataFrame) -> Head:
     """The broadcast part of the counts, of a bounded number of words, and the totals of all."""
     t = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends")).first()
-    top = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    words = counts.filter(F.col("word") != END)
+    step = F.floor(F.log2("n") * 64).cast("int")
+    bins = sorted(((r["b"], r["low"], r["c"]) for r in words.groupBy(step.alias("b")).agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    cut, size = None, 0  # steps of counts, a bounded number, from the top while they fit
+    for _, low, c in bins:
+        size += c
+        if size > HEAD:
+            break
+        cut = low
+    top = words.filter(F.col("n") >= cut if cut is not None else F.lit(False)).toArrow()
     word, n = top.column("word").to_numpy(), top.column("n").to_numpy()
     order = np.lexsort((word, -n))
     word, n = word[order], n[order]
