@@ -8,7 +8,7 @@ are left alone. A document that had text and of which no line is left goes too.
    segments is a substring of the longer one, at a place that its length and number bound. Each line gives index keys
    (length, segment number, segment) for itself and probe keys for lines that are up to EDITS shorter.
 2. Keys that only one line has are dropped by an aggregate. In the other buckets each line is compared with the bucket's
-   smallest line (a star), so a bucket of k lines costs k comparisons. Counts of eight letters, which an edit changes by
+   smallest and greatest line (stars), so a bucket of k lines costs 2 k comparisons. Counts of eight letters, which an edit changes by
    two in sum at most, come first; a banded bit-parallel edit distance verifies.
 3. Components of the links. Buckets within one component are done. In the others, lines of different components meet by
    (key, part of the letter counts): of 2 * EDITS + 1 parts one must be equal, so that also large buckets of lines
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import broadcast_if_small, stored, within
-from tidemill.llm.components import components
+from tidemill.llm.components import components, joined_components
 from tidemill.llm.minhash import keyed
 
 EDITS, LEAST = 1, 32
@@ -113,18 +113,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id, component) of the lines of docs(__key, text) that are linked to another, different line."""
     keys = _lines(docs).select("id", F.explode(join_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("id", "k.sk", "k.own")
-    hubs = keys.groupBy("sk").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("hub"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    hubs = stored(hubs.filter("lo <> hi and hub is not null").select("sk", "hub"), "line_hubs")
-    members = keys.join(broadcast_if_small(hubs, BROADCAST_ROWS), "sk").groupBy("sk", "id").agg(F.max("own").alias("own"), F.min("hub").alias("hub"))
+    owner = F.when(F.col("own"), F.col("id"))
+    hubs = keys.groupBy("sk").agg(F.min(owner).alias("h0"), F.max(owner).alias("h1"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    hubs = stored(hubs.filter("lo <> hi and h0 is not null").select("sk", "h0", "h1"), "line_hubs")
+    members = keys.join(broadcast_if_small(hubs, BROADCAST_ROWS), "sk").groupBy("sk", "id").agg(F.max("own").alias("own"), F.min("h0").alias("h0"), F.min("h1").alias("h1"))
     members = stored(members, "line_members")
     need = stored(members.select("id").distinct(), "line_ids")
     texts = _lines(docs).select("id", "line").join(broadcast_if_small(need, BROADCAST_ROWS), "id", "left_semi")
     texts = stored(texts.groupBy("id").agg(F.any_value("line").alias("line")).select("id", "line", *letter_counts(F.col("line"))), "line_texts")
-    pairs = stored(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "line_pairs")
+    ends = members.select(F.col("id").alias("x"), F.explode(F.array("h0", "h1")).alias("y")).filter("x <> y")
+    pairs = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "line_pairs")
     links = stored(_verified(pairs, texts, edits), "line_links")
     found = stored(components(links), "line_components")
 
-    named = stored(members.join(found, "id", "left").select("sk", "id", "own", "hub", F.coalesce("component", "id").alias("label")), "line_named")
+    named = stored(members.join(found, "id", "left").select("sk", "id", "own", F.coalesce("component", "id").alias("label")), "line_named")
     mixed = stored(named.groupBy("sk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sk"), "line_open")
     if within(mixed, 0):
         return found
@@ -132,18 +134,18 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     rest = named.join(broadcast_if_small(mixed, BROADCAST_ROWS), "sk", "left_semi").join(texts.drop("line"), "id")
     groups = 2 * edits + 1
     part = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.xxhash64(*[c for i, c in enumerate(counts) if i % groups == g]).alias("h")) for g in range(groups)]))
-    cells = rest.withColumn("part", part).select("sk", F.xxhash64("sk", "part.g", "part.h").alias("cell"), "id", "own", "hub", "label", F.struct(*counts).alias("c"))
+    cells = rest.withColumn("part", part).select("sk", F.xxhash64("sk", "part.g", "part.h").alias("cell"), "id", "own", "label", F.struct(*counts).alias("c"))
     cells = stored(cells, "line_cells")
     mine = cells.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("cell")
     cells = stored(cells.join(stored(mine, "line_open_cells"), "cell", "left_semi"), "line_open_rows")
     a, b = cells.alias("x"), cells.alias("y")
     test = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.own") | F.col("y.own"))
-    test = test & (F.col("x.id") != F.col("x.hub")) & (F.col("y.id") != F.col("y.hub")) & (_apart("x.c", "y.c") <= 2 * edits)
+    test = test & (_apart("x.c", "y.c") <= 2 * edits)
     more = stored(a.join(b, test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "line_more")
     if within(more, 0):
         return found
     extra = stored(_verified(more, texts, edits), "line_more_links")
-    return stored(components(links.unionByName(extra)), "line_components")
+    return stored(joined_components(found, extra), "line_components")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:

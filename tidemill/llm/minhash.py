@@ -2,12 +2,13 @@
 
 1. A pass over the texts gives each document its set size, a digest of its set, BANDS hashes of ROWS minima each, and
    the low BITS bits of all minima, packed into longs. Equal sets form a class, and one document stands for it.
-2. Documents that share a band hash are candidates. Within a band's bucket each member is compared with the bucket's
-   smallest member only (a star). The packed bits estimate the similarity, corrected for chance collisions; what
-   may reach the threshold is confirmed on the full sets.
-3. Components of the links. A bucket whose members are all in one component needs nothing more. In the others, members
-   outside the largest component are compared with the members of other components, which finds every link that the
-   stars left open. No bucket is dropped or cut, and none of them is gathered in one task.
+2. Documents that share a band hash are candidates. Within a band's bucket each member is compared with three members
+   only (stars around the smallest, the greatest and a random one). The packed bits estimate the similarity, corrected
+   for chance collisions; what may reach the threshold is confirmed on the full sets.
+3. Components of the links. A bucket whose members are all in one component needs nothing more. For the others a longer
+   signature is made (FINE minima), and members outside the bucket's largest component are compared with the members of
+   other components by it, in the first bucket that two documents share; what passes is confirmed. This finds every link
+   that the stars left open. No bucket is dropped or cut, and none of them is gathered in one task.
 4. Components again give each document the smallest id that can be reached.
 
 A pair at the threshold 0.8 shares no bucket with probability (1 - 0.8**5)**32, three in a million.
@@ -29,27 +30,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import broadcast_if_small, ship, stored, within
-from tidemill.llm.components import components
+from tidemill.llm.components import components, joined_components
 from tidemill.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS, BITS = 32, 5, 2
-HASHES = BANDS * ROWS
-LONGS = HASHES * BITS // 64
-#: How far the estimate may fall short of the threshold before a pair is dropped: over five standard deviations.
-MARGIN = 0.2
+HASHES, FINE = BANDS * ROWS, 1024
+#: How far the estimates may fall short of the threshold before a pair is dropped: five and four and a half standard deviations.
+MARGIN, FINE_MARGIN = 0.2, 0.067
 #: Ids of documents to confirm are broadcast up to this count (16 bytes each) and joined by a shuffle beyond it.
 BROADCAST_IDS = 500_000
 _rng = np.random.Generator(np.random.PCG64(11))
-_MUL = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
-_ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
+_MUL = (_rng.integers(0, 1 << 31, FINE, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
+_ADD = _rng.integers(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima (32 bits) of a set that isn't empty; long sets are walked in slices."""
+def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Minima (32 bits) of a set that isn't empty; long sets are walked in slices."""
     x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    out = None
-    for at in range(0, len(x), 4096):
-        m = (x[None, at : at + 4096] * _MUL + _ADD).min(axis=1)
+    out, width = None, max(64, (1 << 19) // hashes)
+    for at in range(0, len(x), width):
+        m = (x[None, at : at + width] * _MUL[:hashes] + _ADD[:hashes]).min(axis=1)
         out = m if out is None else np.minimum(out, m)
     return out
 
@@ -64,7 +64,7 @@ def band_hashes(minima: np.ndarray) -> np.ndarray:
 
 def packed_bits(minima: np.ndarray) -> np.ndarray:
     """The low BITS bits of each minimum, 64 / BITS to a long."""
-    low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(LONGS, 64 // BITS)
+    low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, 64 // BITS)
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -92,6 +92,17 @@ def _features(k: int):
     return run
 
 
+def _fine(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 400):
+                part = b.slice(at, 400)
+                bits = [packed_bits(signature(s, FINE)) if len(s) else None for s in shingle_sets(part.column(1).to_pylist(), k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["key", "bits"])
+
+    return run
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,15 +114,15 @@ def _sets(k: int):
     return run
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, hashes: int = HASHES) -> Column:
     """Similarity from two packed signatures: equal places less those that agree by chance."""
     odd = F.lit(sum(1 << (BITS * i) for i in range(64 // BITS))).cast("long")
     wrong = []
-    for i in range(LONGS):
+    for i in range(hashes * BITS // 64):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         any_bit = reduce(lambda u, v: u.bitwiseOR(v), [F.shiftrightunsigned(x, j) for j in range(BITS)])
         wrong.append(F.bit_count(any_bit.bitwiseAND(odd)))
-    equal = F.lit(1.0) - reduce(lambda u, v: u + v, wrong) / F.lit(float(HASHES))
+    equal = F.lit(1.0) - reduce(lambda u, v: u + v, wrong) / F.lit(float(hashes))
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
@@ -130,38 +141,39 @@ def near_duplicates(docs: DataFrame, k: int, threshold: float = 0.8) -> DataFram
     """(key, n, component) for docs(key long, text), whose keys are distinct: set size, smallest key that can be reached."""
     spark = docs.sparkSession
     ship(spark)
-    percent, least = round(100 * threshold), threshold - MARGIN
+    percent = round(100 * threshold)
     feats = stored(docs.select("key", "text").mapInArrow(_features(k), "key long, n long, digest binary, bits array<long>, bands array<long>"), "signatures")
     some = feats.filter("n > 0")
     classes = stored(some.groupBy("digest").agg(F.min("key").alias("rep")), "classes")
     reps = feats.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
-    rows = reps.select(F.col("key").alias("id"), F.explode("bands").alias("band"))
-    hubs = stored(rows.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("far")).filter("hub <> far").drop("far"), "hubs")
-    members = stored(rows.join(hubs, "band"), "members")
+    rows = reps.select(F.col("key").alias("id"), F.posexplode("bands").alias("nth", "band"))
+    hubs = rows.groupBy("band").agg(F.min("id").alias("h0"), F.max("id").alias("h1"), F.min_by("id", F.xxhash64("id")).alias("h2")).filter("h0 <> h1")
+    members = stored(rows.join(stored(hubs, "hubs"), "band"), "members")
     bits = stored(reps.select("key", "bits"), "bits")
-    pairs = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    ends = members.select(F.col("id").alias("x"), F.explode(F.array("h0", "h1", "h2")).alias("y")).filter("x <> y")
+    pairs = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     judged = pairs.join(bits.withColumnsRenamed({"key": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"key": "b", "bits": "y"}), "b")
-    stars = stored(judged.filter(estimate(F.col("x"), F.col("y")) >= least).select("a", "b"), "stars")
-    links = stored(_confirmed(stars, docs, k, percent), "links")
-    found = stored(components(links), "components")
-
-    named = members.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    named = stored(named, "named")
-    open_bands = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    rest = stored(named.join(stored(open_bands, "open_bands"), "band", "left_semi"), "open_members")
-    if not within(rest, 0):
+    stars = stored(judged.filter(estimate(F.col("x"), F.col("y")) >= threshold - MARGIN).select("a", "b"), "stars")
+    found = stored(components(_confirmed(stars, docs, k, percent)), "components")
+
+    named = stored(members.join(found, "id", "left").select("band", "nth", "id", F.coalesce("component", "id").alias("label")), "named")
+    open_bands = stored(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band"), "open_bands")
+    if not within(open_bands, 0):
+        rest = stored(named.join(broadcast_if_small(open_bands, BROADCAST_IDS), "band", "left_semi"), "open_members")
         sizes = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
         major = stored(sizes.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("major")), "major")
-        full = stored(rest.join(bits.withColumnRenamed("key", "id"), "id").join(major, "band"), "open_rows")
-        one = full.filter("label <> major").select("band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("bits").alias("x"))
-        other = full.select("band", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("bits").alias("y"), "hub", (F.col("label") == F.col("major")).alias("big"))
-        apart = (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")) & (F.col("big") | (F.col("a") < F.col("b")))
-        near = estimate(F.col("x"), F.col("y")) >= least
-        more = one.join(other, (one["band"] == other["band"]) & apart & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        need = stored(rest.select(F.col("id").alias("key")).distinct(), "open_ids")
+        fine = docs.join(broadcast_if_small(need, BROADCAST_IDS), "key", "left_semi").select("key", "text").mapInArrow(_fine(k), "key long, bits array<long>")
+        fine = stored(fine.join(reps.select("key", "bands"), "key").select(F.col("key").alias("id"), "bits", "bands"), "fine")
+        full = stored(rest.join(fine, "id").join(major, "band"), "open_rows")
+        one = full.filter("label <> major").select("band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("bits").alias("x"), F.col("bands").alias("xb"))
+        other = full.select("band", "nth", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("bits").alias("y"), F.col("bands").alias("yb"), (F.col("label") == F.col("major")).alias("big"))
+        apart = (F.col("la") != F.col("lb")) & (F.col("big") | (F.col("a") < F.col("b"))) & (estimate(F.col("x"), F.col("y"), FINE) >= threshold - FINE_MARGIN)
+        first = F.array_position(F.zip_with("xb", "yb", lambda u, v: u == v), True) == F.col("nth") + 1
+        more = one.join(other, (one["band"] == other["band"]) & apart & first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         more = stored(more, "more_pairs")
         if not within(more, 0):
-            extra = stored(_confirmed(more, docs, k, percent), "more_links")
-            found = stored(components(links.unionByName(extra)), "components")
+            found = stored(joined_components(found, stored(_confirmed(more, docs, k, percent), "more_links")), "components")
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "class_components")
     whole = feats.select("key", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
