@@ -5,10 +5,11 @@ M permutations the L k-mers that come first under it are taken, put back into te
 texts agree in a place only if they share these k-mers in the same order, which follows their edit distance and not
 only their sets. The likeness of two fingerprints is the share of equal places.
 
-One hash of (k-mer, occurrence) carries all permutations: permutation i orders the hashes by their distance in XOR to
-a fixed random number. The low POSITION_BITS of each value hold the place in the text instead of hash bits. Occurrence
-numbers come from sorting (hash, place) and counting along each run of equal hashes by doubling, so a text that repeats
-one word costs n log n.
+One hash of (k-mer, occurrence) carries all permutations: permutation i orders the hashes after an XOR of their top bits
+with i. So after one sort the first L of a permutation are among the first L of each block of equal top bits, M * L
+values, however long the text. The low POSITION_BITS of each value hold the place in the text instead of hash bits.
+Occurrence numbers come from sorting (hash, place) and counting along each run of equal hashes by doubling, so a text
+that repeats one word costs n log n.
 
 Texts with fewer than K words are one k-mer (their words in order); texts without words are one k-mer too (the whole
 text). NULL text counts as empty. Equal texts have equal fingerprints.
@@ -16,8 +17,6 @@ text). NULL text counts as empty. Equal texts have equal fingerprints.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +27,14 @@ POSITION_BITS = 26
 _POS = (1 << POSITION_BITS) - 1
 
 
+def block_bits(m: int) -> int:
+    return max(1, (m - 1).bit_length())
+
+
 def seeds(m: int) -> list[int]:
-    """Random numbers whose low bits are zero, the same in every run."""
-    rng = random.Random(20240229)
-    return [(rng.getrandbits(63) - (1 << 62)) & ~_POS for _ in range(m)]
+    """What each permutation's hashes are XORed with: its number in the top bits, as a signed long."""
+    shift = 64 - block_bits(m)
+    return [(i << shift) - (1 << 64) if i >> (block_bits(m) - 1) else i << shift for i in range(m)]
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, l: int = L, m: int = M) -> DataFrame:  # noqa: E741
@@ -61,10 +64,13 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, l: int = L,
     place = lambda x: x.bitwiseAND(low)
     value = lambda x, r: F.xxhash64(F.get("__k", place(x).cast("int")), r).bitwiseAND(high).bitwiseOR(place(x))
     df = df.withColumn("__u", F.zip_with("__s", "__r", lambda x, r: F.coalesce(value(x, r), zero)))
+    df = df.withColumn("__u", F.sort_array("__u"))
+    block = lambda x: F.shiftrightunsigned(x, 64 - block_bits(m))
+    df = df.withColumn("__f", F.filter("__u", lambda x, j: (j < l) | (block(x) != block(F.get("__u", j - l)))))
 
     def first(seed: int) -> Column:
         flip = F.lit(seed).cast("long")
-        return F.slice(F.sort_array(F.transform("__u", lambda x: F.coalesce(x.bitwiseXOR(flip), zero))), 1, l)
+        return F.slice(F.sort_array(F.transform("__f", lambda x: F.coalesce(x.bitwiseXOR(flip), zero))), 1, l)
 
     df = df.select(*keep, "__k", *[first(s).alias(f"__m{i}") for i, s in enumerate(seeds(m))])
 
