@@ -3,7 +3,7 @@
 1. A pass over the texts gives each document its set size, a digest of its set, BANDS hashes of ROWS minima each, and
    the low BITS bits of all minima, packed into longs. Equal sets form a class, and one document stands for it.
 2. Documents that share a band hash are candidates. Within a band's bucket each member is compared with three members
-   only (stars around the smallest, the greatest and a random one). The packed bits estimate the similarity, corrected
+   only (stars around the smallest, the greatest and a random one), if they meet in OFTEN buckets. The packed bits estimate the similarity, corrected
    for chance collisions; what may reach the threshold is confirmed on the full sets.
 3. Components of the links. A bucket whose members are all in one component needs nothing more. For the others a longer
    signature is made (FINE minima), and members outside the bucket's largest component are compared with the members of
@@ -37,6 +37,8 @@ BANDS, ROWS, BITS = 32, 5, 2
 HASHES, FINE = BANDS * ROWS, 1024
 #: How far the estimates may fall short of the threshold before a pair is dropped: five and four and a half standard deviations.
 MARGIN, FINE_MARGIN = 0.2, 0.067
+#: Stars compare two documents only if they meet as member and centre this often; the rest is left to the third step.
+OFTEN = 3
 #: Ids of documents to confirm are broadcast up to this count (16 bytes each) and joined by a shuffle beyond it.
 BROADCAST_IDS = 500_000
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -151,7 +153,7 @@ def near_duplicates(docs: DataFrame, k: int, threshold: float = 0.8) -> DataFram
     members = stored(rows.join(stored(hubs, "hubs"), "band"), "members")
     bits = stored(reps.select("key", "bits"), "bits")
     ends = members.select(F.col("id").alias("x"), F.explode(F.array("h0", "h1", "h2")).alias("y")).filter("x <> y")
-    pairs = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    pairs = ends.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN).select("a", "b")
     judged = pairs.join(bits.withColumnsRenamed({"key": "a", "bits": "x"}), "a").join(bits.withColumnsRenamed({"key": "b", "bits": "y"}), "b")
     stars = stored(judged.filter(estimate(F.col("x"), F.col("y")) >= threshold - MARGIN).select("a", "b"), "stars")
     found = stored(components(_confirmed(stars, docs, k, percent)), "components")
