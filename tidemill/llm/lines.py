@@ -8,8 +8,9 @@ are left alone. A document that had text and of which no line is left goes too.
    segments is a substring of the longer one, at a place that its length and number bound. Each line gives index keys
    (length, segment number, segment) for itself and probe keys for lines that are up to EDITS shorter.
 2. Keys that only one line has are dropped by an aggregate. In the other buckets each line is compared with the bucket's
-   smallest and greatest line (stars), so a bucket of k lines costs 2 k comparisons. Counts of eight letters, which an edit changes by
-   two in sum at most, come first; a banded bit-parallel edit distance verifies.
+   smallest and greatest line (stars), so a bucket of k lines costs 2 k comparisons. Counts of characters by class,
+   which an edit changes by two in sum at most, come first; a banded bit-parallel edit distance verifies what is left
+   of both lines without their common beginning and end.
 3. Components of the links. Buckets within one component are done. In the others, lines of different components meet by
    (key, part of the letter counts): of 2 * EDITS + 1 parts one must be equal, so that also large buckets of lines
    that aren't linked fall apart. No bucket is dropped or cut.
@@ -31,7 +32,8 @@ from tidemill.llm.components import components, joined_components
 from tidemill.llm.minhash import keyed
 
 EDITS, LEAST = 1, 32
-LETTERS = "eantiors"
+#: Disjoint classes of characters; an edit changes the counts by two in sum at most.
+LETTERS = ("e", "a", "n", "t", "i", "o", "r", "s", "cdlu", "hmpw", "gfbvy", " ")
 #: Rows of ids or keys that may be broadcast (counted first); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -65,6 +67,23 @@ def edit_within(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(gap) <= edits) & F.when(F.abs(gap) <= edits, last[f"r{edits}"].bitwiseAND(bit) != 0).otherwise(False)
 
 
+def stripped(a: Column, b: Column) -> Column:
+    """struct<a, b>: the two strings without the beginning and the end that they share; their edit distance stays the same."""
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+
+    def common(x: Column, y: Column) -> Column:
+        """Length of the common beginning, by doubling from the top."""
+        most = F.least(F.length(x), F.length(y))
+        longer = lambda n, k: F.when((n + k <= most) & (F.substring(x, F.lit(1), n + k) == F.substring(y, F.lit(1), n + k)), n + k).otherwise(n)
+        return F.aggregate(steps, F.lit(0), longer)
+
+    head = F.array(common(a, b))
+    tails = F.element_at(F.transform(head, lambda n: F.struct(F.substring(a, n + 1, F.length(a)).alias("a"), F.substring(b, n + 1, F.length(b)).alias("b"))), 1)
+    ends = F.transform(F.array(tails), lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), common(F.reverse(t["a"]), F.reverse(t["b"])).alias("n")))
+    cut = lambda t, c: F.substring(t[c], F.lit(1), F.length(t[c]) - t["n"]).alias(c)
+    return F.element_at(F.transform(ends, lambda t: F.struct(cut(t, "a"), cut(t, "b"))), 1)
+
+
 def join_keys(line: Column, n: Column, edits: int) -> Column:
     """array<struct<sk long, own boolean>>: index keys of the line itself, and probe keys for lines up to ``edits`` shorter.
 
@@ -107,7 +126,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) of line ids within ``edits`` edits; texts: (id, line, c0 ...)."""
     side = lambda x: texts.select(F.col("id").alias(x), F.struct("line", *[f"c{i}" for i in range(len(LETTERS))]).alias(f"t{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_apart("ta", "tb") <= 2 * edits)
-    return both.filter(edit_within(F.col("ta.line"), F.col("tb.line"), edits)).select("a", "b")
+    both = both.select("a", "b", stripped(F.col("ta.line"), F.col("tb.line")).alias("rest"))
+    return both.filter(edit_within(F.col("rest.a"), F.col("rest.b"), edits)).select("a", "b")
 
 
 def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
