@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm.lines import LEAST, deduplicate_lines, edit_within, join_keys
+from tidemill.llm.lines import LEAST, deduplicate_lines, edit_within, join_keys, stripped
 
 
 def distance(a, b):
@@ -42,8 +42,12 @@ def test_distance_and_keys(spark, edits):
     df = spark.createDataFrame(rows, "a string, b string")
     own = F.transform(F.filter(join_keys(F.col("a"), F.length("a"), edits), lambda x: x["own"]), lambda x: x["sk"])
     probes = F.transform(join_keys(F.col("b"), F.length("b"), edits), lambda x: x["sk"])
-    for r in df.select("a", "b", edit_within(F.col("a"), F.col("b"), edits).alias("near"), F.arrays_overlap(own, probes).alias("met")).collect():
-        assert r["near"] == (distance(r["a"], r["b"]) <= edits)
+    df = df.withColumn("rest", stripped(F.col("a"), F.col("b")))
+    short = edit_within(F.col("rest.a"), F.col("rest.b"), edits).alias("short")
+    for r in df.select("a", "b", "rest", short, edit_within(F.col("a"), F.col("b"), edits).alias("near"), F.arrays_overlap(own, probes).alias("met")).collect():
+        assert r["near"] == r["short"] == (distance(r["a"], r["b"]) <= edits)
+        x, y = r["rest"]
+        assert not (x and y) or (x[0] != y[0] and x[-1] != y[-1])
         if r["near"] and len(r["a"]) > 2 * edits:
             assert r["met"]
 
