@@ -46,9 +46,8 @@ def edit_within(a: Column, b: Column, edits: int) -> Column:
     """
     band = (1 << (2 * edits + 1)) - 1
     long = lambda v: F.lit(v).cast("long")
-    p = F.split(a, "")
 
-    def step(state: Column, x: Column) -> Column:
+    def step(p: Column, state: Column, x: Column) -> Column:
         mask = reduce(lambda u, v: u.bitwiseOR(v), [F.when(F.get(p, x["j"] + d - edits) == x["c"], long(1 << d)).otherwise(long(0)) for d in range(2 * edits + 1)])
         new: list[Column] = []
         for e in range(edits + 1):
@@ -61,7 +60,9 @@ def edit_within(a: Column, b: Column, edits: int) -> Column:
 
     chars = F.transform(F.split(b, ""), lambda c, j: F.struct(c.alias("c"), j.alias("j")))
     start = F.struct(*[long(((1 << (e + 1)) - 1) << edits).alias(f"r{e}") for e in range(edits + 1)])
-    last = F.aggregate(F.when(F.length(b) > 0, chars).otherwise(F.slice(chars, 1, 0)), start, step)
+    read = F.when(F.length(b) > 0, chars).otherwise(F.slice(chars, 1, 0))
+    # a's characters are bound to a variable: as an expression they would be split again for each character of b
+    last = F.element_at(F.transform(F.array(F.split(a, "")), lambda p: F.aggregate(read, start, lambda state, x: step(p, state, x))), 1)
     gap = F.length(a) - F.length(b)
     bit = F.call_function("shiftleft", long(1), gap + edits)
     return (F.abs(gap) <= edits) & F.when(F.abs(gap) <= edits, last[f"r{edits}"].bitwiseAND(bit) != 0).otherwise(False)
@@ -126,8 +127,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) of line ids within ``edits`` edits; texts: (id, line, c0 ...)."""
     side = lambda x: texts.select(F.col("id").alias(x), F.struct("line", *[f"c{i}" for i in range(len(LETTERS))]).alias(f"t{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_apart("ta", "tb") <= 2 * edits)
-    both = both.select("a", "b", stripped(F.col("ta.line"), F.col("tb.line")).alias("rest"))
-    return both.filter(edit_within(F.col("rest.a"), F.col("rest.b"), edits)).select("a", "b")
+    rest = F.array(stripped(F.col("ta.line"), F.col("tb.line")))  # bound likewise, so that it is computed once
+    return both.filter(F.element_at(F.transform(rest, lambda t: edit_within(t["a"], t["b"], edits)), 1)).select("a", "b")
 
 
 def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
