@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemill.llm import langid, ngrams, quality, queries
+from tidemill.llm import gru, langid, ngrams, quality, queries
 from tidemill.llm.gru import Gru
 
 
@@ -128,3 +128,29 @@ def test_lm_base_score_against_counts(spark, docs, small_dir):
         assert r["score"] < 0
     out = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_gru_trains_on_every_training_document(spark):
+    """The first 1,500 documents by the hash of their id have words in random order; the order is in the others only."""
+    rng = np.random.default_rng(2)
+    ids = [r["i"] for r in spark.range(3000).select(F.col("id").alias("i")).orderBy(F.xxhash64("i"), "i").collect()]
+    words = list("abcdef")
+    ordered = " ".join(words * 10)
+    rows = [(i, " ".join(rng.choice(words, 60)) if at < 1500 else ordered) for at, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    head = gru.head_of(gru.word_counts(docs))
+    model, tokens = gru.train(docs, head)
+    assert tokens == head.total == 3000 * 61
+    streams, _ = gru._streams(head, [ordered, " ".join(rng.choice(words, 60))])
+    right, wrong = model.score(streams, head.end)
+    assert right > wrong + 20
+
+
+def test_gru_stream_without_remainder_and_vocabulary_that_grows():
+    g = Gru(8, 8, members=4)
+    before = g.p["x"].copy()
+    g.train(np.array([1, 2, 3, 4, 5, 6, 7, 0, 1, 2, 0]), 0, lanes=4)
+    assert (np.abs(g.p["x"] - before).max(axis=1) > 0)[[1, 2, 3, 4, 5, 6, 7]].all()
+    assert gru.classes_for(4_000_000) == (48, 32)
+    sizes = [math.prod(gru.classes_for(n)) for n in (10**6, 10**8, 10**10)]
+    assert sizes[0] < sizes[1] < sizes[2]

@@ -5,13 +5,16 @@ training documents counts all of them; the counts stay a table. The HEAD most fr
 number, and cover most tokens; all other words of the corpus are joined with the count table by a shuffle, so that every
 count is exact. Nothing is cut: the model scores whole documents.
 
-The model reads the VOCABULARY most frequent tokens as themselves and all others as one. Its output is split into
-classes of equal size by frequency: the probability of a token is that of its class times that within the class. A
-token outside the vocabulary gets the model's probability of ``other`` times its share of the smoothed counts outside.
+The model reads the most frequent tokens as themselves and all others as one; their number grows with the square root of
+the training tokens (classes_for). Its output is split into classes of equal size by frequency: the probability of a
+token is that of its class times that within the class. A token outside the vocabulary gets the model's probability of ``other`` times its share of the smoothed counts outside.
 So the probabilities over all words, the end, and one unseen word add up to 1.
 
-Training is truncated backpropagation through time over windows, on a bounded sample of training documents (SAMPLE, by a
-hash of the id). Scoring lays documents on LANES lanes, longest first, in windows; the state of a lane is carried from
+Training is truncated backpropagation through time over windows, on all training documents whole, each once. A hash of
+the id deals them to rounds that grow (ROUNDS). In a round every task trains a copy of the model on its own documents;
+the copies are averaged, weighted by their tokens, up a tree of tasks, and the next round starts from the average. A
+document may cross from one lane or chunk into the next; there the state starts anew, but no token is left out. The
+averages depend on how the table is cut into tasks. Scoring lays documents on LANES lanes, longest first, in windows; the state of a lane is carried from
 window to window and starts anew with a document, so a document's log-likelihood is that of its whole length.
 
 NULL text counts as empty: one end token. Ids may be NULL or repeated. Without training documents all words are unseen
@@ -33,13 +36,17 @@ from tidemill.llm.common import ship, stored
 from tidemill.llm.shingles import word_hashes
 
 HIDDEN, CLASSES, MEMBERS = 16, 48, 32
-VOCABULARY = CLASSES * MEMBERS - 2
+#: The vocabulary is the square root of the training tokens over this, and CLASSES * MEMBERS - 2 at least.
+GROWTH = 4
 #: Most words whose counts are broadcast (16 bytes each). A threshold on the count picks them, so no task sorts all words.
 HEAD = 1 << 18
-SAMPLE, SAMPLE_TOKENS = 1500, 400_000
+#: Upper ends of the rounds of training, in sixty-fourths of the documents.
+ROUNDS = (2, 16, 64)
+#: Copies of the model that a task of the averaging tree takes, and that the driver takes at last.
+FAN_IN, LAST = 16, 8
 LANES, WINDOW = 512, 32
-#: Tokens that a task holds at a time.
-CHUNK = 1_000_000
+#: Tokens that a task holds at a time, in scoring and in training.
+CHUNK, TRAIN_CHUNK = 1_000_000, 500_000
 ALPHA = 0.1
 #: Stands for the end token in the count table.
 END = 0
@@ -88,22 +95,27 @@ class Gru:
                 out[at] += x[np.arange(len(at)), targets[at] % self.m] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
         return out
 
-    def train(self, stream: np.ndarray, start: int, lanes: int = 64, window: int = 16, rate: float = 0.01, epochs: int = 1) -> list[float]:
-        """Truncated backpropagation over a stream of documents, each of which ends with token ``start``; losses by window."""
-        span = (len(stream) - 1) // lanes
-        if span < 1:
+    def train(self, stream: np.ndarray, start: int, lanes: int = 64, window: int = 16, rate: float = 0.01, epochs: int = 1, state: dict | None = None) -> list[float]:
+        """Truncated backpropagation over a stream of documents, each of which ends with token ``start``; losses by window.
+
+        state: Adam's moments and steps, kept from call to call.
+        """
+        if not len(stream):
             return []
-        rows = stream[: span * lanes].reshape(lanes, span)
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        losses, t_adam = [], 0
+        span = -(-len(stream) // lanes)
+        rows = np.append(stream, np.full(span * lanes - len(stream), -1)).reshape(lanes, span)
+        state = {} if state is None else state
+        moments = state.setdefault("moments", {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()})
+        losses = []
         for _ in range(epochs):
-            h, last = np.zeros((lanes, self.h), np.float32), np.full(lanes, start)
+            h, last = np.zeros((lanes, self.h), np.float32), np.append(start, rows[:-1, -1])
             for at in range(0, span, window):
                 part = rows[:, at : at + window]
-                loss, grads, h = self._window(np.concatenate((last[:, None], part[:, :-1]), axis=1), part, h, start)
+                inputs = np.concatenate((last[:, None], part[:, :-1]), axis=1)
+                loss, grads, h = self._window(np.where(inputs < 0, start, inputs), part, h, start)
                 last = part[:, -1]
                 losses.append(loss)
-                t_adam += 1
+                t_adam = state["steps"] = state.get("steps", 0) + 1
                 for k, g in grads.items():
                     m, v = moments[k]
                     m *= 0.9
@@ -114,6 +126,7 @@ class Gru:
         return losses
 
     def _window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, start: int) -> tuple:
+        """Loss, gradients and the last state. Targets below 0, at the end of a lane, count for nothing."""
         lanes, steps = inputs.shape
         tape, states = [], []
         for t in range(steps):
@@ -123,17 +136,19 @@ class Gru:
             states.append(h)
         s = np.stack(states).reshape(-1, self.h)
         y = targets.T.reshape(-1)
-        n = len(y)
+        real = np.flatnonzero(y >= 0)
+        n = len(real)
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
         kind = y // self.m
         lp = log_softmax(s @ self.p["wc"] + self.p["bc"])
-        loss = -lp[np.arange(n), kind].sum()
+        loss = -lp[real, kind[real]].sum()
         d = np.exp(lp)
-        d[np.arange(n), kind] -= 1
+        d[real, kind[real]] -= 1
+        d[y < 0] = 0
         d /= n
         grads["wc"], grads["bc"] = s.T @ d, d.sum(axis=0)
         ds = d @ self.p["wc"].T
-        for c in np.unique(kind):
+        for c in np.unique(kind[real]):
             at = np.flatnonzero(kind == c)
             lq = log_softmax(s[at] @ self.p["wo"][c].T + self.p["bo"][c] + self.pad[c])
             loss -= lq[np.arange(len(at)), y[at] % self.m].sum()
@@ -202,6 +217,8 @@ class Head:
     total: int
     distinct: int
     outside: float  # smoothed mass of what the vocabulary leaves out, with one unseen word
+    weight: np.ndarray  # training tokens by number, of the whole corpus
+    members: int
 
     @property
     def base(self) -> float:
@@ -236,6 +253,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def classes_for(total: int) -> tuple[int, int]:
+    """Classes and members of each, for a corpus of so many tokens."""
+    scale = max(1.0, np.sqrt(min(np.sqrt(total) / GROWTH, HEAD) / (CLASSES * MEMBERS)))
+    return int(np.ceil(CLASSES * scale)), int(np.ceil(MEMBERS * scale))
+
+
 def head_of(counts: DataFrame) -> Head:
     """The broadcast part of the counts, of a bounded number of words, and the totals of all."""
     t = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends")).first()
@@ -252,8 +275,9 @@ def head_of(counts: DataFrame) -> Head:
     word, n = top.column("word").to_numpy(), top.column("n").to_numpy()
     order = np.lexsort((word, -n))
     word, n = word[order], n[order]
-    inside = n[:VOCABULARY]
     total, ends = int(t["total"] or 0), int(t["ends"] or 0)
+    classes, members = classes_for(total)
+    inside = n[: classes * members - 2]
     others = total - ends - int(inside.sum())
     # numbered by frequency: words, the end, and all others together
     weight = np.concatenate((inside, [ends, others])).astype(np.int64)
@@ -263,7 +287,7 @@ def head_of(counts: DataFrame) -> Head:
     tokens[: len(inside)] = number[: len(inside)]
     by_hash = np.argsort(word.view(np.uint64), kind="stable")
     types = int(t["distinct"] or 0) - len(inside) - (ends > 0)
-    return Head(word.view(np.uint64)[by_hash], n[by_hash], tokens[by_hash], int(number[-1]), int(number[-2]), ends, total, int(t["distinct"] or 0), others + ALPHA * (types + 1))
+    return Head(word.view(np.uint64)[by_hash], n[by_hash], tokens[by_hash], int(number[-1]), int(number[-2]), ends, total, int(t["distinct"] or 0), others + ALPHA * (types + 1), np.sort(weight)[::-1], members)
 
 
 def _tokens(head: Head, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,32 +306,88 @@ def _streams(head: Head, texts: list[str | None]) -> tuple[list[np.ndarray], tup
     return [np.append(tok[a:z], head.end) for a, z in zip(firsts[:-1], firsts[1:], strict=True)], (h, firsts, tok, at, known)
 
 
-def train(docs: DataFrame, head: Head) -> Gru:
-    """A model from a bounded sample of docs(doc_id, text): SAMPLE documents by a hash of their id."""
+def _flat(model: Gru) -> np.ndarray:
+    return np.concatenate([v.reshape(-1) for v in model.p.values()])
+
+
+def _unflat(model: Gru, flat: np.ndarray) -> None:
+    at = 0
+    for k, v in model.p.items():
+        model.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+        at += v.size
+
+
+def _copy_row(part: int, tokens: int, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([tokens], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], names=["part", "tokens", "model"])
+
+
+def _average_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(((p, n, m) for b in batches for p, n, m in zip(*[c.to_pylist() for c in b.columns], strict=True)))
+    if rows:
+        yield _copy_row(rows[0][0], *_average(rows))
+
+
+def _average(rows: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
+    """Tokens of the copies of a model, and their mean weighted by tokens."""
+    total = sum(n for _, n, _ in rows)
+    return total, sum(np.frombuffer(m, np.float32) * (n / total) for _, n, m in rows)
+
+
+def train(docs: DataFrame, head: Head) -> tuple[Gru, int]:
+    """A model of all of docs(doc_id, text), and the number of tokens that it was trained on."""
     spark = docs.sparkSession
     ship(spark)
-    model = Gru(min(CLASSES * MEMBERS, len(np.unique(head.tokens)) + 2) if len(head.tokens) else 2)
-    ids = [r["doc_id"] for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-    if not ids:
-        return model
-    wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long").distinct()
-    sent = spark.sparkContext.broadcast(head)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            streams, _ = _streams(sent.value, b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int32)[:SAMPLE_TOKENS] for s in streams], pa.list_(pa.int32()))], names=["doc_id", "tokens"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.join(F.broadcast(wanted), "doc_id").mapInArrow(run, "doc_id long, tokens array<int>").toArrow()
-    place = {d: i for i, d in enumerate(ids)}
-    parts = sorted(zip(got.column("doc_id").to_pylist(), got.column("tokens").to_pylist(), strict=True), key=lambda r: (place[r[0]], r[1]))
-    stream = np.concatenate([np.array(t, np.int64) for _, t in parts])[:SAMPLE_TOKENS]
-    seen = np.bincount(stream, minlength=model.c * model.m).reshape(model.c, model.m) + 1.0
+    model = Gru(max(len(head.weight), 2), members=head.members)
+    if not head.total:
+        return model, 0
+    seen = np.ones(model.c * model.m)
+    seen[: len(head.weight)] += head.weight
+    seen = seen.reshape(model.c, model.m)
     model.p["bc"][:] = np.log(seen.sum(axis=1) / seen.sum())
     model.p["bo"][:] = np.log(seen / seen.sum(axis=1, keepdims=True))
-    model.train(stream, head.end)
-    return model
+    sent_head = spark.sparkContext.broadcast(head)
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS[-1])).alias("deal"), F.col("text").cast("string").alias("text"))
+    trained = 0
+    for low, high in zip((0, *ROUNDS), ROUNDS, strict=False):
+        sent = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            hd, copy = sent_head.value, Gru(2, members=2)
+            copy.__dict__.update(sent.value.__dict__, p={k: v.copy() for k, v in sent.value.p.items()})
+            held, size, total, state = [], 0, 0, {}
+            for b in batches:
+                for at in range(0, b.num_rows, 100):
+                    streams, _ = _streams(hd, b.slice(at, 100).column(0).to_pylist())
+                    held += streams
+                    size += sum(map(len, streams))
+                    if size >= TRAIN_CHUNK:
+                        copy.train(np.concatenate(held), hd.end, lanes=_train_lanes(size), state=state)
+                        held, size, total = [], 0, total + size
+            if held:
+                copy.train(np.concatenate(held), hd.end, lanes=_train_lanes(size), state=state)
+                total += size
+            if total:
+                yield _copy_row(TaskContext.get().partitionId(), total, _flat(copy))
+
+        copies = rows.filter((F.col("deal") >= low) & (F.col("deal") < high)).select("text").mapInArrow(run, "part long, tokens long, model binary")
+        n = copies.rdd.getNumPartitions()
+        while n > LAST:
+            n = -(-n // FAN_IN)
+            copies = copies.repartition(n).mapInArrow(_average_task, "part long, tokens long, model binary")
+        got = sorted((r["part"], r["tokens"], bytes(r["model"])) for r in copies.collect())
+        if got:
+            tokens, flat = _average(got)
+            trained += tokens
+            _unflat(model, flat)
+        sent.unpersist()
+    return model, trained
+
+
+def _train_lanes(size: int) -> int:
+    """More lanes for longer streams: fewer and larger steps."""
+    return min(256, max(64, size // 2048))
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, words array<long>, times array<int>"
@@ -320,7 +400,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     training = docs.filter(~held_out)
     counts = stored(word_counts(training), "word_counts")
     head = head_of(counts)
-    sent = spark.sparkContext.broadcast((head, train(training, head)))
+    sent = spark.sparkContext.broadcast((head, train(training, head)[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
