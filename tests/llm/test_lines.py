@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import write
+from tidemill.llm import queries
 from tidemill.llm.lines import LEAST, deduplicate_lines, edit_within, join_keys, stripped
 
 
@@ -95,3 +97,16 @@ def test_against_plain_links(spark, edits):
     docs = [(d, "\n".join([base[1], *[rng.choice(pool) for _ in range(rng.randrange(6))]])) for d in range(40)] + [(41, ""), (42, None), (43, base[1]), (44, "short")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in deduplicate_lines(df, edits).collect()} == plain(docs, edits)
+
+
+def test_wide_query_takes_out_lines_within_three_edits(spark, tmp_path):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(40)) for _ in range(8)]
+    far = "".join("klmnopqrst"[i % 10] if i in (3, 14, 25, 36) else c for i, c in enumerate(base[0]))
+    near = ["".join("z" if i in (2, 17, 33) else c for i, c in enumerate(b)) for b in base]
+    docs = [(1, "\n".join(base)), (2, "\n".join([*near, far])), (3, "\n".join(base[1:3]))]
+    assert all(distance(a, b) == 3 for a, b in zip(base, near, strict=True)) and min(distance(far, x) for x in (base[0], near[0])) > 3
+    sf_dir = write(tmp_path / "t", [{"doc_id": d, "text": t} for d, t in docs])
+    got = {r["doc_id"]: r["text"] for r in queries.op7_line_dedup_wide(spark, sf_dir).collect()}
+    assert got == {1: docs[0][1], 2: far, 3: None}
+    assert {d: t for d, t in got.items() if t is not None} == plain(docs, 3)

@@ -65,6 +65,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_lines(_documents(spark, sf_dir), report=True)
 
 
+def op7_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_line_dedup, whose SQL has one edit and lines of 32 characters, for three edits."""
+    from tidemill.llm.lines import deduplicate_lines
+
+    return deduplicate_lines(_documents(spark, sf_dir), edits=3, report=True)
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.gru import score
 
@@ -84,7 +91,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op5_quality, op6_secret_scan, op7_line_dedup, op8_lm_score, op9_tiff, op10_order_minhash)
+    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_dedup, op3_mixing, op4_language_id, op5_quality, op6_secret_scan, op7_line_dedup, op7_line_dedup_wide, op8_lm_score, op9_tiff, op10_order_minhash)
 }
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
