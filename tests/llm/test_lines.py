@@ -110,3 +110,10 @@ def test_wide_query_takes_out_lines_within_three_edits(spark, tmp_path):
     got = {r["doc_id"]: r["text"] for r in queries.op7_line_dedup_wide(spark, sf_dir).collect()}
     assert got == {1: docs[0][1], 2: far, 3: None}
     assert {d: t for d, t in got.items() if t is not None} == plain(docs, 3)
+
+
+def test_short_lines_that_are_equal(spark, tmp_path):
+    docs = [(1, "All rights reserved.\n\nAll rights reserved\n"), (2, "All rights reserved.\n\nown"), (3, "All rights reserved."), (4, "own"), (5, "\n"), (6, None)]
+    sf_dir = write(tmp_path / "t", [{"doc_id": d, "text": t} for d, t in docs])
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in queries.op7_line_dedup_wide(spark, sf_dir).collect()}
+    assert got == {1: (0, docs[0][1]), 2: (1, "\nown"), 3: (1, None), 4: (1, None), 5: (0, "\n"), 6: (0, None)}

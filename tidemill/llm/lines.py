@@ -1,8 +1,8 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations only.
 
 Lines within EDITS edits of each other are linked, and of each set of linked lines only the first in the corpus (by
-document key and place) stays; the others are taken out of their documents. Lines of fewer than LEAST code points
-are left alone. A document that had text and of which no line is left goes too.
+document key and place) stays; the others are taken out of their documents. The edit join takes lines of ``least``
+code points and more; of shorter lines, down to ``exact`` code points, only equal ones are linked. A document that had text and of which no line is left goes too.
 
 1. A line of length n is cut into EDITS + 1 segments. If two lines are within EDITS edits, one of the shorter line's
    segments is a substring of the longer one, at a place that its length and number bound. Each line gives index keys
@@ -117,10 +117,10 @@ def _apart(a: str, b: str) -> Column:
     return reduce(lambda u, v: u + v, [F.abs(F.col(f"{a}.c{i}") - F.col(f"{b}.c{i}")) for i in range(len(LETTERS))])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(key, pos, line, n, id) of the lines that count."""
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """(key, pos, line, n, id) of the lines of ``least`` code points and more."""
     parts = docs.select(F.col("__key").alias("key"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line")).withColumn("n", F.length("line"))
-    return parts.filter(F.col("n") >= LEAST).withColumn("id", F.xxhash64("line"))
+    return parts.filter(F.col("n") >= least).withColumn("id", F.xxhash64("line"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -131,16 +131,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.filter(F.element_at(F.transform(rest, lambda t: edit_within(t["a"], t["b"], edits)), 1)).select("a", "b")
 
 
-def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(id, component) of the lines of docs(__key, text) that are linked to another, different line."""
-    keys = _lines(docs).select("id", F.explode(join_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("id", "k.sk", "k.own")
+    keys = _lines(docs, least).select("id", F.explode(join_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("id", "k.sk", "k.own")
     owner = F.when(F.col("own"), F.col("id"))
     hubs = keys.groupBy("sk").agg(F.min(owner).alias("h0"), F.max(owner).alias("h1"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     hubs = stored(hubs.filter("lo <> hi and h0 is not null").select("sk", "h0", "h1"), "line_hubs")
     members = keys.join(broadcast_if_small(hubs, BROADCAST_ROWS), "sk").groupBy("sk", "id").agg(F.max("own").alias("own"), F.min("h0").alias("h0"), F.min("h1").alias("h1"))
     members = stored(members, "line_members")
     need = stored(members.select("id").distinct(), "line_ids")
-    texts = _lines(docs).select("id", "line").join(broadcast_if_small(need, BROADCAST_ROWS), "id", "left_semi")
+    texts = _lines(docs, least).select("id", "line").join(broadcast_if_small(need, BROADCAST_ROWS), "id", "left_semi")
     texts = stored(texts.groupBy("id").agg(F.any_value("line").alias("line")).select("id", "line", *letter_counts(F.col("line"))), "line_texts")
     ends = members.select(F.col("id").alias("x"), F.explode(F.array("h0", "h1")).alias("y")).filter("x <> y")
     pairs = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "line_pairs")
@@ -169,11 +169,11 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return stored(joined_components(found, extra), "line_components")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int = LEAST) -> DataFrame:
     """(key, drop): the places of the lines to take out of each document of docs(__key, text) that has any."""
-    lines = _lines(docs)
+    lines = _lines(docs, min(least, exact))
     seen = stored(lines.select("key", "pos", "id"), "line_places")
-    linked = line_links(docs, edits)
+    linked = line_links(docs, edits, least)
     per = seen.groupBy("id").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     per = per.join(linked, "id", "left").withColumn("class", F.coalesce("component", "id"))
     per = stored(per.filter("n > 1 or component is not null").select("id", "class", "first"), "line_classes")
@@ -183,13 +183,13 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return gone.groupBy("key").agg(F.collect_set("pos").alias("drop"))
 
 
-def deduplicate_lines(docs: DataFrame, edits: int = EDITS, report: bool = False) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, edits: int = EDITS, report: bool = False, least: int = LEAST, exact: int = LEAST) -> DataFrame:
     """docs with the repeated lines taken out of their texts, in all columns; documents that this empties go.
 
     report: (doc_id, n_lines, n_dropped, text) for every row instead, with the text NULL where the document goes.
     """
     rows, _ = keyed(docs)
-    gone = stored(repeated_lines(rows.select("__key", "text"), edits).withColumnsRenamed({"key": "__key", "drop": "__drop"}), "line_drops")
+    gone = stored(repeated_lines(rows.select("__key", "text"), edits, least, exact).withColumnsRenamed({"key": "__key", "drop": "__drop"}), "line_drops")
     bounded = within(gone, BROADCAST_ROWS // 5) and (gone.agg(F.sum(F.size("__drop"))).first()[0] or 0) <= 2 * BROADCAST_ROWS
     rows = rows.join(F.broadcast(gone) if bounded else gone, "__key", "left").drop("__key")
     split = F.split(F.col("text"), "\n")
