@@ -67,6 +67,7 @@ QUERIES = [
     Query("project_bool", "select n_nationkey, n_regionkey = 1 as is_one, n_name like '%1' as ends_one from nation"),
     Query("project_extract_year", f"select o_orderkey, cast(extract(year from o_orderdate) as int) as y, cast(extract(month from o_orderdate) as int) as mo, cast(extract(day from o_orderdate) as int) as dd, cast(extract(quarter from o_orderdate) as int) as qq from orders where o_totalprice > 400000"),
     Query("project_date_interval", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(datediff(date '2001-01-01', {day('o_orderdate')}) as bigint) as age from orders where o_orderkey < 500", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(date_diff('day', {day('o_orderdate')}, date '2001-01-01') as bigint) as age from orders where o_orderkey < 500"),
+    Query("project_date_interval_all", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(datediff(date '2001-01-01', {day('o_orderdate')}) as bigint) as age from orders", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(date_diff('day', {day('o_orderdate')}, date '2001-01-01') as bigint) as age from orders"),
     Query("project_substring", "select c_custkey, substring(c_mktsegment, 1, 3) as head, substr(c_name, 10, 4) as mid, upper(c_mktsegment) as up, lower(c_mktsegment) as low, cast(length(c_name) as bigint) as len, concat(c_mktsegment, '-', c_name) as both, trim('  x ') as trimmed, replace(c_mktsegment, 'E', 'e') as swapped from customer"),
     Query("project_coalesce_nullif", "select o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'open') as st, greatest(o_orderkey, o_custkey) as hi, least(o_orderkey, o_custkey) as lo from orders"),
     Query("project_cast", "select p_partkey, cast(p_size as string) as s, cast(cast(p_size as string) as int) as i, cast(p_retailprice as decimal(15,2)) as d, cast(p_partkey as double) as f from part", "select p_partkey, cast(p_size as varchar) as s, cast(cast(p_size as varchar) as int) as i, cast(p_retailprice as decimal(15,2)) as d, cast(p_partkey as double) as f from part"),

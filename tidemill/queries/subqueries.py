@@ -58,8 +58,10 @@ QUERIES = [
     Query("sub_scalar_having", f"select l_suppkey, {total(m('l_extendedprice'))} as rev from lineitem group by l_suppkey having sum({m('l_extendedprice')}) > (select sum({m('l_extendedprice')}) / 90 from lineitem)"),
     Query("sub_correlated_topn", "select c_custkey, (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 1) as best from customer c"),
     Query("sub_lateral", "select c.c_custkey, t.o_orderkey from customer c, lateral (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 2) t where c.c_nationkey = 4"),
+    Query("sub_lateral_all", "select c.c_custkey, t.o_orderkey from customer c, lateral (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 2) t"),
     Query("sub_derived_grouped", f"select c.c_mktsegment, cast(sum(t.n) as bigint) as n from customer c join (select o_custkey, count(*) as n from orders group by o_custkey) t on c.c_custkey = t.o_custkey group by c.c_mktsegment"),
     Query("cte_reused", "with o as (select o_custkey, count(*) as n from orders group by o_custkey) select a.o_custkey from o a where a.n = (select max(n) from o)"),
     Query("cte_nested", "with a as (select c_custkey, c_nationkey from customer where c_acctbal > 0), b as (select c_nationkey, count(*) as n from a group by c_nationkey) select b.c_nationkey, b.n from b where exists (select 1 from a where a.c_nationkey = b.c_nationkey and a.c_custkey < 50)"),
+    Query("cte_nested_all", "with a as (select c_custkey, c_nationkey from customer where c_acctbal > 0), b as (select c_nationkey, count(*) as n from a group by c_nationkey) select b.c_nationkey, b.n from b where exists (select 1 from a where a.c_nationkey = b.c_nationkey)"),
     Query("cte_correlation_keys", "select k.o_custkey, count(*) as n from (select distinct o_custkey from orders where o_totalprice > 300000) k join orders o on o.o_custkey = k.o_custkey group by k.o_custkey"),
 ]
