@@ -130,3 +130,8 @@ def test_order_matters(spark):
     fp = [r["fp"] for r in fingerprints.with_fingerprint(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text", "fp").orderBy("i").collect()]
     same = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
     assert same(fp[0], fp[2]) > same(fp[0], fp[1])
+
+
+def test_codecs_are_spread_evenly():
+    got = [next(iter(tiff.read(tiff.store(tiff.payload_of(f"text {i}"))))).compression for i in range(400)]
+    assert all(got.count(c) > 70 for c in (tiff.LZW, tiff.PACKBITS, tiff.NONE, tiff.DEFLATE))
