@@ -59,7 +59,7 @@ def plain(docs, edits):
     label = {x: x for x in lines}
 
     def root(x):
-        while label[x] != x:
+        while label.get(x, x) != x:
             x = label[x]
         return x
 
@@ -71,7 +71,7 @@ def plain(docs, edits):
     for d, t in sorted(docs):
         keep = []
         for x in (t or "").split("\n"):
-            if len(x) >= LEAST:
+            if x:
                 if root(x) in seen:
                     continue
                 seen.add(root(x))

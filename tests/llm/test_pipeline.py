@@ -18,7 +18,7 @@ def lines_left(texts):
     up = {x: x for x in lines}
 
     def root(x):
-        while up[x] != x:
+        while up.get(x, x) != x:
             x = up[x]
         return x
 
@@ -39,10 +39,9 @@ def lines_left(texts):
     for d, t in sorted(texts.items()):
         keep = []
         for x in (t or "").split("\n"):
-            if len(x) < LEAST or root(x) not in seen:
+            if not x or root(x) not in seen:
                 keep.append(x)
-            if len(x) >= LEAST:
-                seen.add(root(x))
+            seen.add(root(x))
         if keep:
             out[d] = "\n".join(keep) if t is not None else None
     return out

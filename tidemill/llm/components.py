@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round sends each node's neighbours towards the smallest of them; rounds end when the edges form stars. Edges stay
-in tables all the time; the driver sees one bit a round. In a graph of more than SPLIT edges the smallest neighbour of
-each node is stored before it is joined back, so that Spark may split the join at a node with very many neighbours.
+in tables all the time; the driver sees one bit a round. The smallest neighbour of each node is stored before it is
+joined back, so that Spark may split the join at a node with very many neighbours.
 """
 
 from __future__ import annotations
@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stored, within
-
-SPLIT = 1_000_000
+from tidemill.llm.common import drop, stored, within
 
 
 def _stars(e: DataFrame) -> bool:
@@ -24,14 +22,15 @@ def _stars(e: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of edges(a, b); component is the smallest id that can be reached."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    keep = (lambda df, name: df) if within(e, SPLIT) else stored
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "large")
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "large")
         large = stored(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large_star")
-        low = keep(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+        drop(e, low)
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "small_star")
+        drop(large, low)
     ends = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ends.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

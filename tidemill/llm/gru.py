@@ -52,9 +52,16 @@ ALPHA = 0.1
 END = 0
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+#: Logits within this need no shift before they are exponentiated in 32 bits.
+SAFE = 60.0
+
+
+def spread(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x) in place and its sums by row; x is shifted by its greatest value first if ``bound`` on it isn't SAFE."""
+    if bound > SAFE:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
 class Gru:
@@ -74,28 +81,55 @@ class Gru:
         """One step from the tokens just read; also the gates, for backpropagation."""
         k = self.h
         g, hu = self.p["x"][tokens], h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * k] + hu[:, : 2 * k])))
+        zr = g[:, : 2 * k] + hu[:, : 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :k], zr[:, k:]
-        c = np.tanh(g[:, 2 * k :] + r * hu[:, 2 * k :])
-        return h + z * (c - h), z, r, c, hu[:, 2 * k :]
+        c = r * hu[:, 2 * k :]
+        c += g[:, 2 * k :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c, hu[:, 2 * k :]
+
+    def bounds(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """Bounds on the absolute logits of the classes and within each class (a state lies in -1 to 1), and the biases within."""
+        top = float((np.abs(self.p["wc"]).sum(axis=0) + np.abs(self.p["bc"])).max())
+        bias = self.p["bo"] + self.pad
+        inner = (np.abs(self.p["wo"]).sum(axis=2) + np.abs(self.p["bo"])).max(axis=1)
+        return top, inner, bias
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after each state; one product for each class that occurs."""
-        kind, out = targets // self.m, np.empty(len(targets), np.float64)
-        logits = states @ self.p["wc"] + self.p["bc"]
-        top = logits.max(axis=1)
-        out[:] = logits[np.arange(len(kind)), kind] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order = np.argsort(kind, kind="stable")
+        bound, inner, bias = self.bounds()
+        order = np.argsort(targets // self.m, kind="stable")
+        s, y = states[order], targets[order]
+        kind = y // self.m
+        x, rows = s @ self.p["wc"], np.arange(len(y))
+        x += self.p["bc"]
+        picked = np.empty(len(y), np.float32)
+        if bound > SAFE:
+            x -= x.max(axis=1, keepdims=True)
+        picked[:] = x[rows, kind]
+        total = np.log(spread(x, 0.0)[1])
         ends = np.cumsum(np.bincount(kind, minlength=self.c))
+        member = y - kind * self.m
         for c, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
             if a < b:
-                at = order[a:b]
-                x = states[at] @ self.p["wo"][c].T + self.p["bo"][c] + self.pad[c]
-                top = x.max(axis=1)
-                out[at] += x[np.arange(len(at)), targets[at] % self.m] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+                q = s[a:b] @ self.p["wo"][c].T
+                q += bias[c]
+                if inner[c] > SAFE:
+                    q -= q.max(axis=1, keepdims=True)
+                picked[a:b] += q[rows[: b - a], member[a:b]]
+                total[a:b] += np.log(spread(q, 0.0)[1])
+        out = np.empty(len(y), np.float64)
+        out[order] = picked.astype(np.float64) - total
         return out
 
-    def train(self, stream: np.ndarray, start: int, lanes: int = 64, window: int = 16, rate: float = 0.01, epochs: int = 1, state: dict | None = None) -> list[float]:
+    def train(self, stream: np.ndarray, start: int, lanes: int = 64, window: int = 32, rate: float = 0.015, epochs: int = 1, state: dict | None = None) -> list[float]:
         """Truncated backpropagation over a stream of documents, each of which ends with token ``start``; losses by window.
 
         state: Adam's moments and steps, kept from call to call.
@@ -105,71 +139,111 @@ class Gru:
         span = -(-len(stream) // lanes)
         rows = np.append(stream, np.full(span * lanes - len(stream), -1)).reshape(lanes, span)
         state = {} if state is None else state
-        moments = state.setdefault("moments", {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()})
+        flat = np.concatenate([v.reshape(-1) for v in self.p.values()])
+        mean, square = state.setdefault("moments", (np.zeros_like(flat), np.zeros_like(flat)))
+        grad, change, at = np.empty_like(flat), np.empty_like(flat), 0
+        grads = {}
+        for name, v in self.p.items():  # parameters and gradients as parts of one vector each
+            self.p[name], grads[name] = flat[at : at + v.size].reshape(v.shape), grad[at : at + v.size].reshape(v.shape)
+            at += v.size
         losses = []
         for _ in range(epochs):
             h, last = np.zeros((lanes, self.h), np.float32), np.append(start, rows[:-1, -1])
             for at in range(0, span, window):
                 part = rows[:, at : at + window]
                 inputs = np.concatenate((last[:, None], part[:, :-1]), axis=1)
-                loss, grads, h = self._window(np.where(inputs < 0, start, inputs), part, h, start)
+                grad[:] = 0
+                loss, _, h = self._window(np.where(inputs < 0, start, inputs), part, h, start, grads)
                 last = part[:, -1]
                 losses.append(loss)
                 t_adam = state["steps"] = state.get("steps", 0) + 1
-                for k, g in grads.items():
-                    m, v = moments[k]
-                    m *= 0.9
-                    m += 0.1 * g
-                    v *= 0.99
-                    v += 0.01 * g * g
-                    self.p[k] -= rate * (m / (1 - 0.9**t_adam)) / (np.sqrt(v / (1 - 0.99**t_adam)) + 1e-8)
+                mean *= 0.9
+                np.multiply(grad, 0.1, out=change)
+                mean += change
+                square *= 0.99
+                np.multiply(grad, grad, out=grad)
+                grad *= 0.01
+                square += grad
+                np.sqrt(square, out=grad)
+                grad *= 1 / np.sqrt(1 - 0.99**t_adam)
+                grad += 1e-8
+                np.multiply(mean, rate / (1 - 0.9**t_adam), out=change)
+                change /= grad
+                flat -= change
         return losses
 
-    def _window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, start: int) -> tuple:
-        """Loss, gradients and the last state. Targets below 0, at the end of a lane, count for nothing."""
+    def _window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, start: int, grads: dict[str, np.ndarray] | None = None) -> tuple:
+        """Loss, gradients (in ``grads``, which is all 0 then) and the last state. Targets below 0, at the end of a lane, count for nothing."""
         lanes, steps = inputs.shape
-        tape, states = [], []
+        kind = self.p["u"].dtype
+        grads = {name: np.zeros_like(v) for name, v in self.p.items()} if grads is None else grads
+        k, tape, fresh = self.h, [], (inputs != start).astype(kind)
+        states = np.empty((steps, lanes, k), kind)
         for t in range(steps):
-            h0 = h * (inputs[:, t] != start)[:, None]
+            h0 = h * fresh[:, t, None]
             h, z, r, c, hu = self.step(inputs[:, t], h0)
             tape.append((h0, z, r, c, hu))
-            states.append(h)
-        s = np.stack(states).reshape(-1, self.h)
-        y = targets.T.reshape(-1)
-        real = np.flatnonzero(y >= 0)
-        n = len(real)
-        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        kind = y // self.m
-        lp = log_softmax(s @ self.p["wc"] + self.p["bc"])
-        loss = -lp[real, kind[real]].sum()
-        d = np.exp(lp)
-        d[real, kind[real]] -= 1
-        d[y < 0] = 0
-        d /= n
-        grads["wc"], grads["bc"] = s.T @ d, d.sum(axis=0)
+            states[t] = h
+        flat, y = states.reshape(-1, k), targets.T.reshape(-1)
+        order = np.argsort(y, kind="stable")
+        order = order[np.searchsorted(y[order], 0) :]
+        s, y, n = flat[order], y[order], len(order)  # by class, without what lies beyond a lane's end
+        group, rows = y // self.m, np.arange(n)
+        bound, inner, bias = self.bounds()
+        d = s @ self.p["wc"]
+        d += self.p["bc"]
+        if bound > SAFE:
+            d -= d.max(axis=1, keepdims=True)
+        loss = -d[rows, group].sum(dtype=np.float64)
+        d, total = spread(d, 0.0)
+        loss += np.log(total).sum(dtype=np.float64)
+        d *= (1 / (total * n))[:, None]
+        d[rows, group] -= 1 / n
+        grads["wc"][:], grads["bc"][:] = s.T @ d, d.sum(axis=0)
         ds = d @ self.p["wc"].T
-        for c in np.unique(kind[real]):
-            at = np.flatnonzero(kind == c)
-            lq = log_softmax(s[at] @ self.p["wo"][c].T + self.p["bo"][c] + self.pad[c])
-            loss -= lq[np.arange(len(at)), y[at] % self.m].sum()
-            e = np.exp(lq)
-            e[np.arange(len(at)), y[at] % self.m] -= 1
-            e /= n
-            grads["wo"][c], grads["bo"][c] = e.T @ s[at], e.sum(axis=0)
-            ds[at] += e @ self.p["wo"][c]
-        ds = ds.reshape(steps, lanes, self.h)
-        dh = np.zeros((lanes, self.h), np.float32)
-        k = self.h
+        ends = np.searchsorted(y, np.arange(1, self.c + 1) * self.m)
+        member = y - group * self.m
+        for c, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
+            if a < b:
+                e = s[a:b] @ self.p["wo"][c].T
+                e += bias[c]
+                if inner[c] > SAFE:
+                    e -= e.max(axis=1, keepdims=True)
+                at = rows[: b - a], member[a:b]
+                loss -= e[at].sum(dtype=np.float64)
+                e, total = spread(e, 0.0)
+                loss += np.log(total).sum(dtype=np.float64)
+                e *= (1 / (total * n))[:, None]
+                e[at] -= 1 / n
+                grads["wo"][c], grads["bo"][c] = e.T @ s[a:b], e.sum(axis=0)
+                ds[a:b] += e @ self.p["wo"][c]
+        back = np.zeros((steps * lanes, k), kind)
+        back[order] = ds
+        back = back.reshape(steps, lanes, k)
+        dh, ut = np.zeros((lanes, k), kind), np.ascontiguousarray(self.p["u"].T)
+        at_gates, at_hidden = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
+        befores = np.empty((steps, lanes, k), kind)
         for t in range(steps - 1, -1, -1):
             h0, z, r, c, hu = tape[t]
-            dh = dh + ds[t]
-            dc = dh * z * (1 - c * c)
-            dz, dr = dh * (c - h0) * z * (1 - z), dc * hu * r * (1 - r)
-            g = np.concatenate((dz, dr, dc), axis=1)
-            gu = np.concatenate((dz, dr, dc * r), axis=1)
-            np.add.at(grads["x"], inputs[:, t], g)
-            grads["u"] += h0.T @ gu
-            dh = (dh * (1 - z) + gu @ self.p["u"].T) * (inputs[:, t] != start)[:, None]
+            dh += back[t]
+            dz = dh * z
+            dc = dz * (1 - c * c)
+            g, gu = at_gates[t], at_hidden[t]
+            np.multiply(dz * (1 - z), c - h0, out=g[:, :k])
+            np.multiply(dc * hu, r * (1 - r), out=g[:, k : 2 * k])
+            g[:, 2 * k :] = dc
+            gu[:, : 2 * k] = g[:, : 2 * k]
+            np.multiply(dc, r, out=gu[:, 2 * k :])
+            befores[t] = h0
+            dh -= dz
+            dh += gu @ ut
+            dh *= fresh[:, t, None]
+        grads["u"][:] = befores.reshape(-1, k).T @ at_hidden.reshape(-1, 3 * k)
+        token = inputs.T.reshape(-1)
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        grads["x"][token[first]] = np.add.reduceat(at_gates.reshape(-1, 3 * k)[order], first, axis=0)
         return float(loss / n), grads, h
 
     def score(self, docs: list[np.ndarray], start: int, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:

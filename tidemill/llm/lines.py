@@ -2,7 +2,8 @@
 
 Lines within EDITS edits of each other are linked, and of each set of linked lines only the first in the corpus (by
 document key and place) stays; the others are taken out of their documents. The edit join takes lines of ``least``
-code points and more; of shorter lines, down to ``exact`` code points, only equal ones are linked. A document that had text and of which no line is left goes too.
+code points and more; of shorter lines, down to ``exact`` code points, only equal ones are linked. Empty lines stay. A
+document that had text and of which no line is left goes too.
 
 1. A line of length n is cut into EDITS + 1 segments. If two lines are within EDITS edits, one of the shorter line's
    segments is a substring of the longer one, at a place that its length and number bound. Each line gives index keys
@@ -17,7 +18,8 @@ code points and more; of shorter lines, down to ``exact`` code points, only equa
 
 Lines are known by a 64-bit hash; two different lines share one with odds of 1 in 2**64. NULL and empty texts stay as
 they are. Ids may be NULL or repeated: rows are then told apart by their place in the table. An empty table gives no
-rows. All columns are kept.
+rows. All columns are kept, whatever their names. Lines of any length are compared whole. Of equal lines the one with
+the smallest (document key, place) stays, so there are no ties.
 """
 
 from __future__ import annotations
@@ -27,15 +29,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import broadcast_if_small, stored, within
+from tidemill.llm.common import fresh, sieve, sifted, stored, within
 from tidemill.llm.components import components, joined_components
 from tidemill.llm.minhash import keyed
 
-EDITS, LEAST = 1, 32
+EDITS, LEAST, EXACT = 1, 32, 1
 #: Disjoint classes of characters; an edit changes the counts by two in sum at most.
 LETTERS = ("e", "a", "n", "t", "i", "o", "r", "s", "cdlu", "hmpw", "gfbvy", " ")
-#: Rows of ids or keys that may be broadcast (counted first); beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
 
 
 def edit_within(a: Column, b: Column, edits: int) -> Column:
@@ -119,7 +119,7 @@ def _apart(a: str, b: str) -> Column:
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(key, pos, line, n, id) of the lines of ``least`` code points and more."""
-    parts = docs.select(F.col("__key").alias("key"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line")).withColumn("n", F.length("line"))
+    parts = docs.select("key", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line")).withColumn("n", F.length("line"))
     return parts.filter(F.col("n") >= least).withColumn("id", F.xxhash64("line"))
 
 
@@ -132,15 +132,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(id, component) of the lines of docs(__key, text) that are linked to another, different line."""
+    """(id, component) of the lines of docs(key, text) that are linked to another, different line."""
     keys = _lines(docs, least).select("id", F.explode(join_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("id", "k.sk", "k.own")
     owner = F.when(F.col("own"), F.col("id"))
     hubs = keys.groupBy("sk").agg(F.min(owner).alias("h0"), F.max(owner).alias("h1"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     hubs = stored(hubs.filter("lo <> hi and h0 is not null").select("sk", "h0", "h1"), "line_hubs")
-    members = keys.join(broadcast_if_small(hubs, BROADCAST_ROWS), "sk").groupBy("sk", "id").agg(F.max("own").alias("own"), F.min("h0").alias("h0"), F.min("h1").alias("h1"))
+    members = sifted(keys, "sk", sieve(hubs, "sk")).groupBy("sk", "id").agg(F.max("own").alias("own")).join(hubs, "sk")
     members = stored(members, "line_members")
     need = stored(members.select("id").distinct(), "line_ids")
-    texts = _lines(docs, least).select("id", "line").join(broadcast_if_small(need, BROADCAST_ROWS), "id", "left_semi")
+    texts = sifted(_lines(docs, least).select("id", "line"), "id", sieve(need, "id"))
     texts = stored(texts.groupBy("id").agg(F.any_value("line").alias("line")).select("id", "line", *letter_counts(F.col("line"))), "line_texts")
     ends = members.select(F.col("id").alias("x"), F.explode(F.array("h0", "h1")).alias("y")).filter("x <> y")
     pairs = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "line_pairs")
@@ -152,7 +152,7 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     if within(mixed, 0):
         return found
     counts = [f"c{i}" for i in range(len(LETTERS))]
-    rest = named.join(broadcast_if_small(mixed, BROADCAST_ROWS), "sk", "left_semi").join(texts.drop("line"), "id")
+    rest = named.join(mixed, "sk", "left_semi").join(texts.drop("line"), "id")
     groups = 2 * edits + 1
     part = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.xxhash64(*[c for i, c in enumerate(counts) if i % groups == g]).alias("h")) for g in range(groups)]))
     cells = rest.withColumn("part", part).select("sk", F.xxhash64("sk", "part.g", "part.h").alias("cell"), "id", "own", "label", F.struct(*counts).alias("c"))
@@ -169,8 +169,8 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     return stored(joined_components(found, extra), "line_components")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int = LEAST) -> DataFrame:
-    """(key, drop): the places of the lines to take out of each document of docs(__key, text) that has any."""
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: int = EXACT) -> DataFrame:
+    """(key, drop): the places of the lines to take out of each document of docs(key, text) that has any."""
     lines = _lines(docs, min(least, exact))
     seen = stored(lines.select("key", "pos", "id"), "line_places")
     linked = line_links(docs, edits, least)
@@ -179,23 +179,36 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exac
     per = stored(per.filter("n > 1 or component is not null").select("id", "class", "first"), "line_classes")
     first = per.groupBy("class").agg(F.min("first").alias("first"))
     keep = stored(per.select("id", "class").join(first, "class").select("id", F.col("first.key").alias("fk"), F.col("first.pos").alias("fp")), "line_firsts")
-    gone = seen.join(broadcast_if_small(keep, BROADCAST_ROWS), "id").filter("key <> fk or pos <> fp")
+    gone = sifted(seen, "id", sieve(keep, "id")).join(keep, "id").filter("key <> fk or pos <> fp")
     return gone.groupBy("key").agg(F.collect_set("pos").alias("drop"))
 
 
-def deduplicate_lines(docs: DataFrame, edits: int = EDITS, report: bool = False, least: int = LEAST, exact: int = LEAST) -> DataFrame:
+def left_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at the places ``gone``; NULL if none is left. The lines are bound to a variable, so that a text is split once."""
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.when(F.size(left) > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+
+    return F.element_at(F.transform(F.array(F.split(text, "\n")), rest), 1)
+
+
+def deduplicate_lines(docs: DataFrame, edits: int = EDITS, report: bool = False, least: int = LEAST, exact: int = EXACT) -> DataFrame:
     """docs with the repeated lines taken out of their texts, in all columns; documents that this empties go.
 
-    report: (doc_id, n_lines, n_dropped, text) for every row instead, with the text NULL where the document goes.
+    report: (doc_id, n_lines, n_dropped, text) for every row instead, with the text NULL where the document goes. Only
+    documents that may lose lines are shuffled; the others pass as they are.
     """
-    rows, _ = keyed(docs)
-    gone = stored(repeated_lines(rows.select("__key", "text"), edits, least, exact).withColumnsRenamed({"key": "__key", "drop": "__drop"}), "line_drops")
-    bounded = within(gone, BROADCAST_ROWS // 5) and (gone.agg(F.sum(F.size("__drop"))).first()[0] or 0) <= 2 * BROADCAST_ROWS
-    rows = rows.join(F.broadcast(gone) if bounded else gone, "__key", "left").drop("__key")
-    split = F.split(F.col("text"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).when(F.size(left) > 0, F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    key, gone_at, new, n_lines, n_dropped = fresh(docs, "__key", "__drop", "__text", "__n_lines", "__n_dropped")
+    rows, _ = keyed(docs, key)
+    gone = stored(repeated_lines(rows.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")), edits, least, exact), "line_drops")
+    bitmap, gone = sieve(gone, "key"), gone.withColumnsRenamed({"key": key, "drop": gone_at})
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    same = sifted(rows, key, bitmap, hit=False).withColumns({new: F.col("text"), n_dropped: F.lit(0).cast("long")})
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(left_lines(F.col("text"), F.col(gone_at)))
+    cut = sifted(rows, key, bitmap).join(gone.hint("merge"), key, "left").withColumns({new: text, n_dropped: F.coalesce(F.size(gone_at), F.lit(0)).cast("long")})
+    both = same.unionByName(cut.drop(gone_at))
     if report:
-        n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
-        return rows.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("text"))
-    return rows.withColumn("__text", text).filter(F.col("__drop").isNull() | F.col("__text").isNotNull()).withColumn("text", F.col("__text")).drop("__text", "__drop")
+        return both.select("doc_id", count.alias("n_lines"), F.col(n_dropped).alias("n_dropped"), F.col(new).alias("text"))
+    whole = both.filter((F.col(n_dropped) == 0) | F.col(new).isNotNull())
+    return whole.select(*[F.col(new).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import n_words, ship, stored, within
+from tidemill.llm.common import distinct_ids, fresh, n_words, ship, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, LIMIT = 1.5, 2.0
 SHARD_ROWS = 4096
 FAN_IN = 32
-BROADCAST_SOURCES = 20_000
 _EPS = 1e-9
 
 
@@ -151,16 +150,15 @@ def copies(docs: DataFrame, size: Column | None = None, weights: tuple[float, ..
     size = n_words(F.col("text")) if size is None else size
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size"))
     sized = stored(narrow.withColumn("row", F.monotonically_increasing_id()), "sized")
-    n, ids = sized.count(), sized.select("doc_id").distinct().count()
-    key = F.col("doc_id") if ids == n and within(sized.filter("doc_id is null"), 0) else F.col("row")
+    n = sized.count()
+    key = F.col("doc_id") if distinct_ids(sized) else F.col("row")
     targets = source_targets(sized, weights, share, limit).withColumnRenamed("source", "__s")
-    side = F.broadcast(targets) if within(targets, BROADCAST_SOURCES) else targets
-    rows = sized.join(side, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    rows = sized.join(stored(targets, "targets"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     shards = 1 << max(0, math.ceil(math.log2(max(1, n / SHARD_ROWS))))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("h", F.xxhash64(key, F.lit(seed))).withColumn("whole", F.floor(times + _EPS).cast("long"))
     frac = F.greatest(F.lit(0.0), times - F.col("whole"))
-    rows = rows.withColumn("frac", F.when((F.col("size") > 0) & (frac > 1e-6), frac).otherwise(0.0))
+    rows = rows.withColumn("frac", F.when((F.col("size") > 0) & (frac > _EPS), frac).otherwise(0.0))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(shards)))
     done, level = [], 0
     while True:
@@ -181,11 +179,11 @@ def copies(docs: DataFrame, size: Column | None = None, weights: tuple[float, ..
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (not at all, once or more), in all its columns."""
-    ids = docs.select("doc_id")
-    if within(ids.filter("doc_id is null"), 0) and ids.count() == ids.distinct().count():
-        keyed, got = docs.withColumn("__row", F.col("doc_id")), copies(docs, **how)
+    row, n = fresh(docs, "__row", "__n")
+    if distinct_ids(docs):
+        keyed, got = docs.withColumn(row, F.col("doc_id").cast("long")), copies(docs, **how)
     else:
-        keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
-        got = copies(keyed.select(F.col("__row").alias("doc_id"), "source", "text"), **how)
-    taken = keyed.join(got.filter("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__n")), "__row")
-    return taken.withColumn("__k", F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int")))).drop("__row", "__n", "__k")
+        keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
+        got = copies(keyed.select(F.col(row).alias("doc_id"), "source", "text"), **how)
+    taken = keyed.join(got.filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(n)), row)
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int"))).alias(n)).drop(n)

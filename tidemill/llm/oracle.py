@@ -55,7 +55,7 @@ u as (select distinct line, length(line) as n from o where length(line) >= 32),
 e as (select a.line as x, b.line as y from u a join u b on b.n in (a.n - 1, a.n, a.n + 1) and a.line <> b.line and levenshtein(a.line, b.line) <= 1),
 r as (select distinct x as line, x as other from e union select r.line, e.y from r join e on e.x = r.other),
 c as (select line, min(other) as class from r group by line),
-k as (select o.doc_id, o.i, o.line, length(o.line) < 32 or row_number() over (partition by coalesce(c.class, o.line) order by o.doc_id, o.i) = 1 as stays from o left join c on c.line = o.line),
+k as (select o.doc_id, o.i, o.line, o.line = '' or row_number() over (partition by coalesce(c.class, o.line) order by o.doc_id, o.i) = 1 as stays from o left join c on c.line = o.line),
 g as (select doc_id, count(*) as n_lines, count(*) filter (where not stays) as n_dropped, string_agg(line, chr(10) order by i) filter (where stays) as text from k group by doc_id)
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, g.text from d left join g on g.doc_id = d.doc_id"""
 

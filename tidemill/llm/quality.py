@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import ngrams
-from tidemill.llm.common import ship
+from tidemill.llm.common import fresh, ship
 from tidemill.llm.shingles import word_hashes
 
 BITS = 11
@@ -220,16 +220,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 _SCORES = ("text_score", "meta_score", "score")
 
 
-def score(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, carry: str = "") -> DataFrame:
     """doc_id and the probabilities of both views and of their combination, and whether it is kept, for each row of docs.
 
-    carry: all columns of docs instead of doc_id, and only ``__kept`` besides.
+    carry: all columns of docs instead of doc_id, and only whether it is kept besides, in a column of this name.
     """
     spark = docs.sparkSession
     ship(spark)
     cols = docs.columns if carry else ["doc_id"]
     if model is None:
-        new = [F.lit(True).alias("__kept")] if carry else [*[F.lit(1.0).alias(c) for c in _SCORES], F.lit(True).alias("kept")]
+        new = [F.lit(True).alias(carry)] if carry else [*[F.lit(1.0).alias(c) for c in _SCORES], F.lit(True).alias("kept")]
         return docs.select(*[F.col(f"`{c}`") for c in cols], *new)
     sent = spark.sparkContext.broadcast(model)
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]
@@ -252,13 +252,14 @@ def score(docs: DataFrame, model: Model | None, carry: bool = False) -> DataFram
                 meta = m.meta.logit(np.stack([meta_features(s, g, c) for s, g, c in zip(sources, langs, sizes, strict=True)])).astype(np.float64)
                 p = m.combine(text, meta)
                 values = [pa.array(p >= KEEP)] if carry else [pa.array(_sigmoid(text)), pa.array(_sigmoid(meta)), pa.array(p), pa.array(p >= KEEP)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(cols)], *values], names=[*[f"c{i}" for i in range(len(cols))], *(["__kept"] if carry else [*_SCORES, "kept"])])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(cols)], *values], names=[*[f"c{i}" for i in range(len(cols))], *(["c_kept"] if carry else [*_SCORES, "kept"])])
 
     schema = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols)]
-    schema += ["__kept boolean"] if carry else [*[f"{c} double" for c in _SCORES], "kept boolean"]
-    return rows.mapInArrow(run, ", ".join(schema)).withColumnsRenamed({f"c{i}": c for i, c in enumerate(cols)})
+    schema += ["c_kept boolean"] if carry else [*[f"{c} double" for c in _SCORES], "kept boolean"]
+    return rows.mapInArrow(run, ", ".join(schema)).withColumnsRenamed({f"c{i}": c for i, c in enumerate(cols)} | {"c_kept": carry})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects, in all its columns."""
-    return score(docs, train(docs, labels), carry=True).filter("__kept").drop("__kept")
+    (kept,) = fresh(docs, "__kept")
+    return score(docs, train(docs, labels), carry=kept).filter(F.col(kept)).drop(kept)

@@ -66,10 +66,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op7_line_dedup, whose SQL has one edit and lines of 32 characters, for three edits and all non-empty lines."""
+    """The columns of op7_line_dedup, whose SQL has one edit, for three edits."""
     from tidemill.llm.lines import deduplicate_lines
 
-    return deduplicate_lines(_documents(spark, sf_dir), edits=3, report=True, exact=1)
+    return deduplicate_lines(_documents(spark, sf_dir), edits=3, report=True)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
