@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ship, stored
+from tidemill.llm.common import frugal, ship, stored
 from tidemill.llm.shingles import word_hashes
 
 HIDDEN, CLASSES, MEMBERS = 16, 48, 32
@@ -324,7 +324,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): all tokens of docs(text); word is the hash, END the end tokens."""
     ship(docs.sparkSession)
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(_count_task), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def classes_for(total: int) -> tuple[int, int]:
@@ -445,11 +445,11 @@ def train(docs: DataFrame, head: Head) -> tuple[Gru, int]:
             if total:
                 yield _copy_row(TaskContext.get().partitionId(), total, _flat(copy))
 
-        copies = rows.filter((F.col("deal") >= low) & (F.col("deal") < high)).select("text").mapInArrow(run, "part long, tokens long, model binary")
+        copies = rows.filter((F.col("deal") >= low) & (F.col("deal") < high)).select("text").mapInArrow(frugal(run), "part long, tokens long, model binary")
         n = copies.rdd.getNumPartitions()
         while n > LAST:
             n = -(-n // FAN_IN)
-            copies = copies.repartition(n).mapInArrow(_average_task, "part long, tokens long, model binary")
+            copies = copies.repartition(n).mapInArrow(frugal(_average_task), "part long, tokens long, model binary")
         got = sorted((r["part"], r["tokens"], bytes(r["model"])) for r in copies.collect())
         if got:
             tokens, flat = _average(got)
@@ -520,7 +520,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             yield emit(ids, held, texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = stored(rows.mapInArrow(run, _SCORED), "scored")
+    scored = stored(rows.mapInArrow(frugal(run), _SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     weighed = rare.join(counts, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     log = F.log10(F.col("n") + ALPHA)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import ngrams
-from tidemill.llm.common import ship
+from tidemill.llm.common import frugal, ship
 
 BITS = 14
 SMOOTHING = 0.5
@@ -61,7 +61,7 @@ def train(rows: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
         return [], np.zeros((0, 1 << bits), np.float32)
     while bits > 8 and len(langs) * 4 << bits > MATRIX_BYTES:
         bits -= 1
-    got = known.mapInArrow(_count_task(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = known.mapInArrow(frugal(_count_task(bits)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.full((len(langs), 1 << bits), SMOOTHING)
     where = {x: i for i, x in enumerate(langs)}
     rows_at = np.array([where[x] for x in got.column("lang").to_pylist()], np.int64)
@@ -98,4 +98,4 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, held_out: Col
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.when(letters, F.col("text").cast("string")).alias("text"), letters.alias("ok"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import distinct_ids, fresh, ship, sieve, sifted, stored, within
+from tidemill.llm.common import distinct_ids, drop, fresh, frugal, ship, sieve, sifted, stored, within
 from tidemill.llm.components import components, joined_components
 from tidemill.llm.shingles import mix, shingle_sets
 
@@ -131,11 +131,13 @@ def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = BITS) -> Co
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     need = stored(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "to_confirm")
-    sets = stored(sifted(docs.select("key", "text"), "key", sieve(need, "key")).mapInArrow(_sets(k), "key long, shingles array<long>"), "sets")
+    sets = stored(sifted(docs.select("key", "text"), "key", sieve(need, "key")).mapInArrow(frugal(_sets(k)), "key long, shingles array<long>"), "sets")
     left = pairs.join(sets.withColumnsRenamed({"key": "a", "shingles": "sa"}).hint("merge"), "a")
     both = left.join(sets.withColumnsRenamed({"key": "b", "shingles": "sb"}).hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    links = stored(both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    drop(need, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int, threshold: float = 0.8) -> DataFrame:
@@ -143,13 +145,14 @@ def near_duplicates(docs: DataFrame, k: int, threshold: float = 0.8) -> DataFram
     spark = docs.sparkSession
     ship(spark)
     percent = round(100 * threshold)
-    feats = stored(docs.select("key", "text").mapInArrow(_features(k), "key long, n long, digest binary, bits array<long>, bands array<long>"), "signatures")
+    feats = stored(docs.select("key", "text").mapInArrow(frugal(_features(k)), "key long, n long, digest binary, bits array<long>, bands array<long>"), "signatures")
     some = feats.filter("n > 0")
     classes = stored(some.groupBy("digest").agg(F.min("key").alias("rep")), "classes")
-    reps = feats.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
+    reps = feats.join(classes.select(F.col("rep").alias("key")).hint("merge"), "key", "left_semi")
     rows = reps.select(F.col("key").alias("id"), F.posexplode("bands").alias("nth", "band"))
     hubs = rows.groupBy("band").agg(F.min("id").alias("h0"), F.max("id").alias("h1"), F.min_by("id", F.xxhash64("id")).alias("h2")).filter("h0 <> h1")
-    members = stored(rows.join(stored(hubs, "hubs"), "band"), "members")
+    hubs = stored(hubs, "hubs")
+    members = stored(sifted(rows, "band", sieve(hubs, "band")).join(hubs, "band"), "members")
     bits = stored(reps.select("key", "bits"), "bits")
     ends = members.select(F.col("id").alias("x"), F.explode(F.array("h0", "h1", "h2")).alias("y")).filter("x <> y")
     pairs = ends.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN).select("a", "b")
@@ -164,7 +167,7 @@ def near_duplicates(docs: DataFrame, k: int, threshold: float = 0.8) -> DataFram
         sizes = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
         major = stored(sizes.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("major")), "major")
         need = stored(rest.select(F.col("id").alias("key")).distinct(), "open_ids")
-        fine = sifted(docs.select("key", "text"), "key", sieve(need, "key")).mapInArrow(_fine(k), "key long, bits array<long>")
+        fine = sifted(docs.select("key", "text"), "key", sieve(need, "key")).mapInArrow(frugal(_fine(k)), "key long, bits array<long>")
         narrow = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
         fine = stored(fine.join(sifted(reps, "key", sieve(need, "key")).select("key", narrow.alias("bands")), "key").select(F.col("key").alias("id"), "bits", "bands"), "fine")
         full = stored(rest.join(major, "band").join(fine.hint("merge"), "id"), "open_rows")
@@ -174,8 +177,9 @@ def near_duplicates(docs: DataFrame, k: int, threshold: float = 0.8) -> DataFram
         first = F.array_position(F.zip_with("xb", "yb", lambda u, v: u == v), True) == F.col("nth") + 1
         more = one.join(other.hint("merge"), (one["band"] == other["band"]) & apart & first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         more = stored(more, "more_pairs")
+        drop(full, fine)
         if not within(more, 0):
-            found = stored(joined_components(found, stored(_confirmed(more, docs, k, percent), "more_links")), "components")
+            found = stored(joined_components(found, _confirmed(more, docs, k, percent)), "components")
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "class_components")
     whole = feats.select("key", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")

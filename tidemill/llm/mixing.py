@@ -185,5 +185,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     else:
         keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
         got = copies(keyed.select(F.col(row).alias("doc_id"), "source", "text"), **how)
-    taken = keyed.join(got.filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(n)), row)
+    taken = keyed.join(got.filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(n)).hint("merge"), row)
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int"))).alias(n)).drop(n)

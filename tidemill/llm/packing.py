@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ship, stored
+from tidemill.llm.common import frugal, ship, stored
 from tidemill.llm.tokens import default_path, ids_of
 
 CAPACITY = 4096
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         return _pack_task(pieces(), capacity, open_bins, 0)
 
     level = 0
-    packed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(first, _DDL), "packed0")
+    packed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(first), _DDL), "packed0")
     done = [packed.filter(~F.col("open"))]
     tasks = packed.agg(F.max(F.shiftright(F.col("sequence_id"), 32).bitwiseAND(F.lit(0xFFFFFF))).alias("m")).first()["m"]
     tasks = 0 if tasks is None else tasks + 1
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
         order = F.xxhash64("doc_id", "piece", "ids_crc32")
         items = rest.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece", "start", "ids_crc32")
-        packed = stored(items.mapInArrow(again, _DDL), f"packed{level}")
+        packed = stored(items.mapInArrow(frugal(again), _DDL), f"packed{level}")
         done.append(packed.filter(~F.col("open")))
         rest = packed.filter("open")
     out = rest

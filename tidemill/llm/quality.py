@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import ngrams
-from tidemill.llm.common import fresh, ship
+from tidemill.llm.common import fresh, frugal, ship
 from tidemill.llm.shingles import word_hashes
 
 BITS = 11
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").orderBy(order, "doc_id").limit(POOL)
     pool = [r["doc_id"] for r in others.collect() if r["doc_id"] not in y_of]
     wanted = spark.createDataFrame([(int(i),) for i in [*y_of, *pool]], "doc_id long")
-    got = _inputs(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_featurize, "doc_id long, x binary").toArrow()
+    got = _inputs(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(frugal(_featurize), "doc_id long, x binary").toArrow()
     ids = got.column("doc_id").to_pylist()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(ids), -1)
     order_rows = np.argsort(np.array(ids, np.int64), kind="stable")
@@ -256,7 +256,7 @@ def score(docs: DataFrame, model: Model | None, carry: str = "") -> DataFrame:
 
     schema = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols)]
     schema += ["c_kept boolean"] if carry else [*[f"{c} double" for c in _SCORES], "kept boolean"]
-    return rows.mapInArrow(run, ", ".join(schema)).withColumnsRenamed({f"c{i}": c for i, c in enumerate(cols)} | {"c_kept": carry})
+    return rows.mapInArrow(frugal(run), ", ".join(schema)).withColumnsRenamed({f"c{i}": c for i, c in enumerate(cols)} | {"c_kept": carry})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

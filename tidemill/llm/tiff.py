@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ship
+from tidemill.llm.common import frugal, ship
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Largest page that is decoded, in bytes.
@@ -344,7 +344,7 @@ def pages(df: DataFrame, key: str, media: str) -> DataFrame:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([k] * len(rows)), *cols], names=[key, *[x.split()[0] for x in _PAGES.split(", ")]])
 
-    return df.select(key, media).mapInArrow(run, f"`{key}` {kind}, {_PAGES}")
+    return df.select(key, media).mapInArrow(frugal(run), f"`{key}` {kind}, {_PAGES}")
 
 
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pages int, feature string"
@@ -375,4 +375,4 @@ def digests(docs: DataFrame) -> DataFrame:
                 rows = [one(d, t) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DIGEST)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), _DIGEST)

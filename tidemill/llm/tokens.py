@@ -12,8 +12,12 @@ import unicodedata
 
 import numpy as np
 
-#: Entries kept before the cache starts anew; about 150 bytes each.
-CACHE = 400_000
+#: Bytes that a worker's caches may hold before they start anew, and the longest chunk that is kept.
+CACHE_BYTES, LONGEST = 48 << 20, 64
+#: What an entry costs beside four bytes a character and its ids.
+ENTRY = 220
+#: Texts on which the cache has to agree with the whole tokenizer; with another vocabulary it may not, and isn't used then.
+PROBES = ("", " ", "Hello, World's end", "it'll I'm 12345 3.14", "a\tb\n\nc  d", "Été naïve Straße ﬁ ΟΔΟΣ", "日本語のテキスト", "x=y+z; foo_bar->baz()", "e\u0301 \u200b \u00a0 -- \"q\" <|x|>", "\U0001f600 ok")
 END_ID = 1
 
 
@@ -40,22 +44,36 @@ class Ids:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         self.end = np.array([END_ID], "<u4").tobytes()
+        self.cached = all(self(p) == self.slow(p) + self.end for p in PROBES)
+
+    def keep(self, cache: dict[str, bytes], key: str, ids: bytes) -> None:
+        """Into a cache, if the key isn't long; both start anew when they hold CACHE_BYTES."""
+        if len(key) > LONGEST:
+            return
+        if self.held > CACHE_BYTES:
+            self.chunks.clear()
+            self.parts.clear()
+            self.held = 0
+        cache[key] = ids
+        self.held += ENTRY + 4 * len(key) + len(ids)
+
+    cached = True
 
     def __call__(self, text: str | None) -> bytes:
+        if not self.cached:
+            return self.slow(text or "") + self.end
         pieces = (text or "").replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.chunks.__getitem__, pieces)) + self.end
         except KeyError:
-            if len(self.chunks) > CACHE:
-                self.chunks.clear()
-            known, out = self.chunks, []
+            out = []
             for c in pieces:
-                ids = known.get(c)
+                ids = self.chunks.get(c)
                 if ids is None:
                     ids = self.chunk(c)
-                    if len(known) <= 2 * CACHE:
-                        known[c] = ids
+                    self.keep(self.chunks, c, ids)
                 out.append(ids)
             return b"".join(out) + self.end
 
@@ -75,10 +93,9 @@ class Ids:
     def part(self, p: str) -> bytes:
         ids = self.parts.get(p)
         if ids is None:
-            if len(self.parts) > CACHE:
-                self.parts.clear()
             mapped = p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode("utf-8", "surrogatepass")])
-            ids = self.parts[p] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            self.keep(self.parts, p, ids)
         return ids
 
     def slow(self, c: str) -> bytes:
