@@ -77,7 +77,7 @@ def drop(*tables: DataFrame) -> None:
 BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
     "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
-    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
 }
 
 

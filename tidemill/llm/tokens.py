@@ -12,8 +12,8 @@ import unicodedata
 
 import numpy as np
 
-#: Bytes that a worker's caches may hold before they start anew, and the longest chunk that is kept.
-CACHE_BYTES, LONGEST = 48 << 20, 64
+#: Bytes that a worker's cache may hold before it starts anew, and the longest chunk that is kept.
+CACHE_BYTES, LONGEST = 56 << 20, 64
 #: What an entry costs beside four bytes a character and its ids.
 ENTRY = 220
 #: Texts on which the cache has to agree with the whole tokenizer; with another vocabulary it may not, and isn't used then.
@@ -42,21 +42,19 @@ class Ids:
         self.model = self.whole.model
         self.letters = byte_letters()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of chunks and of their parts; a part's ids are those of the chunk that equals it
         self.held = 0
         self.end = np.array([END_ID], "<u4").tobytes()
         self.cached = all(self(p) == self.slow(p) + self.end for p in PROBES)
 
-    def keep(self, cache: dict[str, bytes], key: str, ids: bytes) -> None:
-        """Into a cache, if the key isn't long; both start anew when they hold CACHE_BYTES."""
-        if len(key) > LONGEST:
+    def keep(self, key: str, ids: bytes) -> None:
+        """Into the cache, if the key isn't long; it starts anew when it holds CACHE_BYTES."""
+        if len(key) > LONGEST or key in self.known:
             return
         if self.held > CACHE_BYTES:
-            self.chunks.clear()
-            self.parts.clear()
+            self.known.clear()
             self.held = 0
-        cache[key] = ids
+        self.known[key] = ids
         self.held += ENTRY + 4 * len(key) + len(ids)
 
     cached = True
@@ -66,14 +64,14 @@ class Ids:
             return self.slow(text or "") + self.end
         pieces = (text or "").replace("\n", " ").split(" ")
         try:
-            return b"".join(map(self.chunks.__getitem__, pieces)) + self.end
+            return b"".join(map(self.known.__getitem__, pieces)) + self.end
         except KeyError:
             out = []
             for c in pieces:
-                ids = self.chunks.get(c)
+                ids = self.known.get(c)
                 if ids is None:
                     ids = self.chunk(c)
-                    self.keep(self.chunks, c, ids)
+                    self.keep(c, ids)
                 out.append(ids)
             return b"".join(out) + self.end
 
@@ -91,11 +89,11 @@ class Ids:
         return b"".join([self.part(p) for p in self.split(low)])
 
     def part(self, p: str) -> bytes:
-        ids = self.parts.get(p)
+        ids = self.known.get(p)
         if ids is None:
             mapped = p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode("utf-8", "surrogatepass")])
             ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            self.keep(self.parts, p, ids)
+            self.keep(p, ids)
         return ids
 
     def slow(self, c: str) -> bytes:
