@@ -27,13 +27,12 @@ def quantified(df: DataFrame, x: Column, op: str, how: str, sub: DataFrame, valu
     side = sub.select(F.col(value).alias("__v"), *[F.col(b).alias(k) for (_, b), k in zip(on, keys, strict=True)])
     if op in ("<", "<=", ">", ">="):
         return _by_bounds(df, x, op, how, side, [a for a, _ in on], keys)
-    match = F.lit(True)
-    for (a, _), k in zip(on, keys, strict=True):
-        match = match & (F.col(a) == F.col(k))
-    true = getattr(x, _OPS[op])(F.col("__v"))
-    if how == "ANY":
-        return df.join(side, match & true, "left_semi")
-    return df.join(side, match & ~F.coalesce(true, F.lit(False)), "left_anti")
+    if op == "=" and how == "ANY":
+        match = x == F.col("__v")
+        for (a, _), k in zip(on, keys, strict=True):
+            match = match & (F.col(a) == F.col(k))
+        return df.join(side, match, "left_semi")
+    return _by_equality(df, x, op, how, side, [a for a, _ in on], keys)
 
 
 def _by_bounds(df: DataFrame, x: Column, op: str, how: str, side: DataFrame, outer: list[str], keys: list[str]) -> DataFrame:
@@ -54,3 +53,23 @@ def _by_bounds(df: DataFrame, x: Column, op: str, how: str, side: DataFrame, out
     else:
         keep = F.coalesce(F.col("__n"), F.lit(0)).eqNullSafe(0) | (true & (F.col("__n") == F.col("__known")))
     return joined.filter(keep).select(*[df[c] for c in own])
+
+
+def _by_equality(df: DataFrame, x: Column, op: str, how: str, side: DataFrame, outer: list[str], keys: list[str]) -> DataFrame:
+    """x = ALL, x <> ANY and x <> ALL: one row of totals a key, and for <> ALL an anti join on the value itself."""
+    stats = side.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count(F.lit(1)).alias("__n"), F.count("__v").alias("__known"))
+    own, match = df.columns, F.lit(True)
+    for a, k in zip(outer, keys, strict=True):
+        match = match & (df[a] == F.col(k))
+    joined = df.join(stats, match, "left") if keys else df.crossJoin(F.broadcast(stats))  # one row
+    none, whole = F.coalesce(F.col("__n"), F.lit(0)) == 0, F.col("__n") == F.col("__known")
+    same = (x == F.col("__low")) & (x == F.col("__high"))
+    if op == "=":  # ALL
+        return joined.filter(none | F.coalesce(whole & same, F.lit(False))).select(*[df[c] for c in own])
+    if how == "ANY":
+        return joined.filter(F.coalesce(~same, F.lit(False))).select(*[df[c] for c in own])
+    kept = joined.filter(none | (whole & x.isNotNull())).select(*[df[c] for c in own])
+    differ = x == F.col("__v")
+    for a, k in zip(outer, keys, strict=True):
+        differ = differ & (F.col(a) == F.col(k))
+    return kept.join(side.filter(F.col("__v").isNotNull()), differ, "left_anti")

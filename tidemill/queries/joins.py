@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemill.functions import money
+from tidemill.operators import asof_join, range_join
 from tidemill.queries.base import Query, m, total
+from tidemill.sources import Catalog
+
+
+def _asof(t: Catalog) -> DataFrame:
+    left = t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = t.events.filter("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"))
+    return asof_join(left, right, ["user_id"], "ts", "view_ts").select("event_id", F.col("view_ts").alias("last_ts"))
+
+
+def _range(t: Catalog) -> DataFrame:
+    bands = t.region.select(F.col("r_regionkey").alias("band"), (900 + 200 * F.col("r_regionkey")).cast("decimal(15,2)").alias("low"), (1100 + 200 * F.col("r_regionkey")).cast("decimal(15,2)").alias("high"))
+    return range_join(t.part.withColumn("price", money("p_retailprice")), bands, "price", "low", "high", 200).select("p_partkey", "band")
+
 
 QUERIES = [
     Query("join_inner", f"select o.o_orderkey, c.c_name, {m('o.o_totalprice')} as price from orders o join customer c on o.o_custkey = c.c_custkey where c.c_mktsegment = 'BUILDING'"),
@@ -24,4 +42,8 @@ QUERIES = [
     Query("join_left_nonequi", "select r.r_regionkey, n.n_nationkey from region r left join nation n on n.n_nationkey < r.r_regionkey - 1"),
     Query("join_star_aggregate", f"select r.r_name, p.p_type, {total(m('l.l_extendedprice'))} as revenue, count(*) as n from lineitem l join part p on l.l_partkey = p.p_partkey join supplier s on l.l_suppkey = s.s_suppkey join nation n on s.s_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey group by r.r_name, p.p_type"),
     Query("join_disjunctive_filter", "select s.s_suppkey, c.c_custkey from supplier s join customer c on s.s_nationkey = c.c_nationkey where (s.s_nationkey = 3 and c.c_mktsegment = 'BUILDING') or (s.s_nationkey = 7 and c.c_mktsegment = 'MACHINERY')"),
+    Query("join_natural", "select k, n_name, s_suppkey from (select n_nationkey as k, n_name from nation) n natural join (select s_nationkey as k, s_suppkey from supplier) s"),
+    Query("join_interval", "select a.event_id, b.event_id as then_id from events a join events b on a.user_id = b.user_id and b.ts > a.ts and b.ts <= a.ts + interval '6' hour where a.event_type = 'click' and b.event_type = 'purchase'"),
+    Query("join_range", _range, f"select p.p_partkey, b.r_regionkey as band from part p join region b on {m('p.p_retailprice')} >= 900 + 200 * b.r_regionkey and {m('p.p_retailprice')} < 1100 + 200 * b.r_regionkey"),
+    Query("join_asof", _asof, "select a.event_id, b.ts as last_ts from (select * from events where event_type = 'purchase') a asof left join (select * from events where event_type = 'view') b on a.user_id = b.user_id and a.ts >= b.ts"),
 ]

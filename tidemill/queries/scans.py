@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import money, prefix, safe_divide
 from tidemill.operators import with_ties
+from tidemill.plans import run
 from tidemill.queries.base import Query, day, m
-from tidemill.sources import Catalog
+from tidemill.sources import Catalog, register
 from tidemill.streaming import hourly
 
 LINE = f"l_orderkey, l_linenumber, {m('l_quantity')} as quantity, {m('l_extendedprice')} as price"
@@ -32,6 +33,11 @@ def _events_hourly(t: Catalog) -> DataFrame:
     return hourly(t.events).select(F.col("hour").cast("string").alias("hour"), "event_type", "n")
 
 
+def _parameters(t: Catalog) -> DataFrame:
+    register(t.spark, t.sf_dir, "part")
+    return run(t.spark, "select p_partkey, p_name from part where p_size between :low and :high and p_type = :kind", low=5, high=20, kind="PROMO")
+
+
 QUERIES = [
     Query("scan_select_star", "select * from nation"),
     Query("scan_pruned_filter", f"select {LINE} from lineitem where l_quantity >= 45 and l_shipdate >= timestamp '1998-01-01 00:00:00'"),
@@ -66,8 +72,7 @@ QUERIES = [
     Query("project_case_multi", "select p_partkey, case when p_size < 10 then 'small' when p_size < 30 then 'medium' when p_size < 45 then 'large' else 'huge' end as band, case p_type when 'PROMO' then 1 when 'SMALL' then 2 end as code from part"),
     Query("project_bool", "select n_nationkey, n_regionkey = 1 as is_one, n_name like '%1' as ends_one from nation"),
     Query("project_extract_year", f"select o_orderkey, cast(extract(year from o_orderdate) as int) as y, cast(extract(month from o_orderdate) as int) as mo, cast(extract(day from o_orderdate) as int) as dd, cast(extract(quarter from o_orderdate) as int) as qq from orders where o_totalprice > 400000"),
-    Query("project_date_interval", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(datediff(date '2001-01-01', {day('o_orderdate')}) as bigint) as age from orders where o_orderkey < 500", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(date_diff('day', {day('o_orderdate')}, date '2001-01-01') as bigint) as age from orders where o_orderkey < 500"),
-    Query("project_date_interval_all", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(datediff(date '2001-01-01', {day('o_orderdate')}) as bigint) as age from orders", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(date_diff('day', {day('o_orderdate')}, date '2001-01-01') as bigint) as age from orders"),
+    Query("project_date_interval", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(datediff(date '2001-01-01', {day('o_orderdate')}) as bigint) as age from orders", f"select o_orderkey, cast({day('o_orderdate')} + interval '1' month as date) as next_month, cast({day('o_orderdate')} - interval '90' day as date) as earlier, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(date_diff('day', {day('o_orderdate')}, date '2001-01-01') as bigint) as age from orders"),
     Query("project_substring", "select c_custkey, substring(c_mktsegment, 1, 3) as head, substr(c_name, 10, 4) as mid, upper(c_mktsegment) as up, lower(c_mktsegment) as low, cast(length(c_name) as bigint) as len, concat(c_mktsegment, '-', c_name) as both, trim('  x ') as trimmed, replace(c_mktsegment, 'E', 'e') as swapped from customer"),
     Query("project_coalesce_nullif", "select o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'open') as st, greatest(o_orderkey, o_custkey) as hi, least(o_orderkey, o_custkey) as lo from orders"),
     Query("project_cast", "select p_partkey, cast(p_size as string) as s, cast(cast(p_size as string) as int) as i, cast(p_retailprice as decimal(15,2)) as d, cast(p_partkey as double) as f from part", "select p_partkey, cast(p_size as varchar) as s, cast(cast(p_size as varchar) as int) as i, cast(p_retailprice as decimal(15,2)) as d, cast(p_partkey as double) as f from part"),
@@ -81,4 +86,19 @@ QUERIES = [
     Query("with_ties", _with_ties, "select l_partkey, n from (select l_partkey, count(*) as n, rank() over (order by count(*) desc) as r from lineitem group by l_partkey) t where r <= 25"),
     Query("events_hourly", _events_hourly, "select cast(date_trunc('hour', ts) as varchar) as hour, event_type, count(*) as n from events group by 1, 2"),
     Query("events_json_field", "select event_id, get_json_object(props, '$.k') as k from events where event_type = 'purchase'", "select event_id, json_extract_string(props, '$.k') as k from events where event_type = 'purchase'"),
+    Query("scan_range_function", "select id as n, id * id as sq from range(1, 50)", "select range as n, range * range as sq from range(1, 50)"),
+    Query("scan_explode_function", "select p_partkey, w from part lateral view explode(split(p_name, ' ')) t as w", "select p_partkey, unnest(string_split(p_name, ' ')) as w from part"),
+    Query("filter_any_array", "select p_partkey, p_size from part where array_contains(array(1, 7, 23, 49), p_size)", "select p_partkey, p_size from part where p_size = any([1, 7, 23, 49])"),
+    Query("filter_all_array", "select p_partkey, p_type from part where not array_contains(array('ECONOMY', 'PROMO'), p_type)", "select p_partkey, p_type from part where p_type <> all(['ECONOMY', 'PROMO'])"),
+    Query("filter_similar_to", "select p_partkey, p_name from part where p_name rlike '^(?:(red|blue) [a-c].*)$'", "select p_partkey, p_name from part where p_name similar to '(red|blue) [a-c].*'"),
+    Query("filter_row_order", "select p_partkey from part where struct(p_brand, p_size) >= struct('Brand#34', 25) and struct(p_type, p_size) < struct('PROMO', 10)", "select p_partkey from part where (p_brand, p_size) >= ('Brand#34', 25) and (p_type, p_size) < ('PROMO', 10)"),
+    Query("filter_collate", "select p_partkey, p_name from part where p_name collate UTF8_LCASE = 'RED BOLT'", "select p_partkey, p_name from part where p_name collate nocase = 'RED BOLT'"),
+    Query("filter_parameters", _parameters, "select p_partkey, p_name from part where p_size between 5 and 20 and p_type = 'PROMO'"),
+    Query("project_trigonometry", "select p_partkey, round(sin(p_size), 9) as s, round(cos(p_size), 9) as c, round(atan2(p_size, 3), 9) as a, round(ln(p_size + 1), 9) as l, round(exp(p_size / 50.0D), 9) as e, cast(round(cast(p_retailprice as decimal(15,2)), 1) as double) as r, sign(p_size - 25) as sg from part", "select p_partkey, round(sin(p_size), 9) as s, round(cos(p_size), 9) as c, round(atan2(p_size, 3), 9) as a, round(ln(p_size + 1), 9) as l, round(exp(p_size / 50.0), 9) as e, cast(round(cast(p_retailprice as decimal(15,2)), 1) as double) as r, cast(sign(p_size - 25) as double) as sg from part"),
+    Query("project_now", "select n_nationkey, now() > timestamp '2020-01-01 00:00:00' as later, current_date >= date '2020-01-01' as today from nation", "select n_nationkey, cast(now() as timestamp) > timestamp '2020-01-01 00:00:00' as later, current_date >= date '2020-01-01' as today from nation"),
+    Query("project_to_char", "select o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd HH:mm') as d, lpad(cast(o_custkey as string), 8, '0') as k from orders", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') as d, lpad(cast(o_custkey as varchar), 8, '0') as k from orders"),
+    Query("project_position", "select p_partkey, cast(position('o' in p_name) as bigint) as at, left(p_name, 3) as l, right(p_name, 2) as r, reverse(p_type) as rev, split_part(p_name, ' ', 2) as second, cast(ascii(p_name) as bigint) as code from part"),
+    Query("project_narrow_casts", "select p_partkey, cast(p_size as smallint) as i2, cast(cast(p_size as float) / 4 as double) as f4, rpad(substring(p_type, 1, 6), 6, ' ') as c6 from part", "select p_partkey, cast(p_size as smallint) as i2, cast(cast(p_size as float) / 4 as double) as f4, rpad(substring(p_type, 1, 6), 6, ' ') as c6 from part"),
+    Query("project_array", "select p_partkey, array(p_size, 3, 7)[0] as first, cast(size(array(p_size, 3, 7)) as bigint) as n, array_contains(array(p_size, 3, 7), 7) as has, cast(array_max(array(p_size, 3, 7)) as bigint) as top, array_join(sort_array(split(p_name, ' ')), '|') as words from part", "select p_partkey, [p_size, 3, 7][1] as first, len([p_size, 3, 7]) as n, list_contains([p_size, 3, 7], 7) as has, cast(list_max([p_size, 3, 7]) as bigint) as top, array_to_string(list_sort(string_split(p_name, ' ')), '|') as words from part"),
+    Query("project_map_json", "select p_partkey, map('size', p_size, 'half', p_size div 2)['half'] as half, get_json_object(concat('{\"a\": {\"b\": ', p_size, '}}'), '$.a.b') as b from part", "select p_partkey, map {'size': p_size, 'half': p_size // 2}['half'] as half, json_extract_string('{\"a\": {\"b\": ' || p_size || '}}', '$.a.b') as b from part"),
 ]

@@ -35,6 +35,15 @@ def _all_distinct(t: Catalog) -> DataFrame:
     return quantified(t.nation, F.col("n_nationkey"), "<>", "ALL", t.supplier.filter(F.col("s_acctbal") > 5000), "s_nationkey").select("n_nationkey")
 
 
+def _all_equal(t: Catalog) -> DataFrame:
+    return quantified(t.nation, F.col("n_regionkey"), "=", "ALL", t.supplier.select((F.col("s_suppkey") % 1 + 2).cast("int").alias("v")), "v").select("n_nationkey")
+
+
+def _any_distinct(t: Catalog) -> DataFrame:
+    sub = t.supplier.select("s_nationkey", (F.col("s_nationkey") % 2).cast("int").alias("v"))
+    return quantified(t.nation, F.col("n_regionkey"), "<>", "ANY", sub, "v", on=[("n_nationkey", "s_nationkey")]).select("n_nationkey")
+
+
 QUERIES = [
     Query("sub_exists", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 350000)"),
     Query("sub_not_exists", "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P')"),
@@ -57,11 +66,19 @@ QUERIES = [
     Query("sub_scalar_count_zero", "select n_nationkey, (select count(*) from supplier s where s.s_nationkey = n.n_nationkey and s.s_acctbal > 9000) as n from nation n"),
     Query("sub_scalar_having", f"select l_suppkey, {total(m('l_extendedprice'))} as rev from lineitem group by l_suppkey having sum({m('l_extendedprice')}) > (select sum({m('l_extendedprice')}) / 90 from lineitem)"),
     Query("sub_correlated_topn", "select c_custkey, (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 1) as best from customer c"),
-    Query("sub_lateral", "select c.c_custkey, t.o_orderkey from customer c, lateral (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 2) t where c.c_nationkey = 4"),
-    Query("sub_lateral_all", "select c.c_custkey, t.o_orderkey from customer c, lateral (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 2) t"),
+    Query("sub_lateral", "select c.c_custkey, t.o_orderkey from customer c, lateral (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 2) t"),
     Query("sub_derived_grouped", f"select c.c_mktsegment, cast(sum(t.n) as bigint) as n from customer c join (select o_custkey, count(*) as n from orders group by o_custkey) t on c.c_custkey = t.o_custkey group by c.c_mktsegment"),
     Query("cte_reused", "with o as (select o_custkey, count(*) as n from orders group by o_custkey) select a.o_custkey from o a where a.n = (select max(n) from o)"),
-    Query("cte_nested", "with a as (select c_custkey, c_nationkey from customer where c_acctbal > 0), b as (select c_nationkey, count(*) as n from a group by c_nationkey) select b.c_nationkey, b.n from b where exists (select 1 from a where a.c_nationkey = b.c_nationkey and a.c_custkey < 50)"),
-    Query("cte_nested_all", "with a as (select c_custkey, c_nationkey from customer where c_acctbal > 0), b as (select c_nationkey, count(*) as n from a group by c_nationkey) select b.c_nationkey, b.n from b where exists (select 1 from a where a.c_nationkey = b.c_nationkey)"),
+    Query("cte_nested", "with a as (select c_custkey, c_nationkey from customer where c_acctbal > 0), b as (select c_nationkey, count(*) as n from a group by c_nationkey) select b.c_nationkey, b.n from b where exists (select 1 from a where a.c_nationkey = b.c_nationkey)"),
     Query("cte_correlation_keys", "select k.o_custkey, count(*) as n from (select distinct o_custkey from orders where o_totalprice > 300000) k join orders o on o.o_custkey = k.o_custkey group by k.o_custkey"),
+    Query("sub_scalar_order_by", "select n_nationkey from (select n_nationkey, (select count(*) from supplier s where s.s_nationkey = n.n_nationkey) as k from nation n) t order by k desc, n_nationkey limit 7", "select n_nationkey from nation n order by (select count(*) from supplier s where s.s_nationkey = n.n_nationkey) desc, n_nationkey limit 7"),
+    Query("sub_scalar_group_by", "select rn, count(*) as n from (select (select r_name from region r where r.r_regionkey = t.n_regionkey) as rn from nation t) x group by rn", "select (select r_name from region r where r.r_regionkey = t.n_regionkey) as rn, count(*) as n from nation t group by 1"),
+    Query("sub_scalar_window_key", "select c_custkey, cast(row_number() over (partition by reg order by c_custkey) as bigint) as rn from (select c_custkey, (select n_regionkey from nation n where n.n_nationkey = c.c_nationkey) as reg from customer c) x", "select c_custkey, cast(row_number() over (partition by (select n_regionkey from nation n where n.n_nationkey = c.c_nationkey) order by c_custkey) as bigint) as rn from customer c"),
+    Query("sub_correlated_union", "select c_custkey, (select count(*) from (select o_orderkey as k from orders o where o.o_custkey = c.c_custkey union all select s_suppkey as k from supplier s where s.s_nationkey = c.c_nationkey) u) as n from customer c"),
+    Query("sub_correlated_distinct", "select n_nationkey, (select count(*) from (select distinct c_mktsegment from customer c where c.c_nationkey = n.n_nationkey and c.c_acctbal > 8000) t) as segments from nation n"),
+    Query("sub_correlated_group_by", "select c_custkey from customer c where exists (select o_orderstatus from orders o where o.o_custkey = c.c_custkey group by o_orderstatus having count(*) > 5)"),
+    Query("sub_correlated_outer_join", "select n_nationkey, (select count(c.c_custkey) from supplier s left join customer c on c.c_nationkey = s.s_nationkey and c.c_acctbal > 9000 where s.s_nationkey = n.n_nationkey) as n from nation n"),
+    Query("sub_array", "select n_nationkey, coalesce((select array_join(transform(sort_array(collect_list(s_suppkey)), x -> cast(x as string)), ',') from supplier s where s.s_nationkey = n.n_nationkey), '') as supps from nation n", "select n_nationkey, array_to_string(list_sort(array(select s_suppkey from supplier s where s.s_nationkey = n.n_nationkey)), ',') as supps from nation n"),
+    Query("sub_quantified_eq_all", _all_equal, "select n_nationkey from nation where n_regionkey = all (select cast(s_suppkey % 1 + 2 as int) from supplier)"),
+    Query("sub_quantified_ne_any", _any_distinct, "select n_nationkey from nation n where n_regionkey <> any (select cast(s_nationkey % 2 as int) from supplier s where s.s_nationkey = n.n_nationkey)"),
 ]

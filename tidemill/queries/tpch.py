@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from tidemill.queries.base import Query, average, day, m, total
 
-Q, P, D, T = m("l_quantity"), m("l_extendedprice"), m("l_discount"), m("l_tax")
-NET = f"{P} * (1 - {D})"
+#: As wide as the columns need: products of narrow decimals stay within 18 digits, which are one long.
+Q, P, D, T = "cast(l_quantity as decimal(12,2))", "cast(l_extendedprice as decimal(12,2))", "cast(l_discount as decimal(4,2))", "cast(l_tax as decimal(4,2))"
+NET = f"{P} * cast(1 - {D} as decimal(4,2))"
 YEAR = "cast(extract(year from {}) as int)"
 
 Q01 = f"""
 select l_returnflag, l_linestatus, {total(Q)} as sum_qty, {total(P)} as sum_base_price, {total(NET)} as sum_disc_price,
-       {total(f"{NET} * (1 + {T})")} as sum_charge, {average(Q)} as avg_qty, {average(P)} as avg_price, {average(D)} as avg_disc, count(*) as count_order
+       {total(f"{NET} * cast(1 + {T} as decimal(4,2))")} as sum_charge, {average(Q)} as avg_qty, {average(P)} as avg_price, {average(D)} as avg_disc, count(*) as count_order
 from lineitem where {day("l_shipdate")} <= date '2001-11-01' - interval '90' day
 group by l_returnflag, l_linestatus order by l_returnflag, l_linestatus"""
 
@@ -28,6 +29,11 @@ where {day("o_orderdate")} >= date '1997-07-01' and {day("o_orderdate")} < date
 group by o_orderpriority"""),
     Query("q05", f"""
 select n_name, {total(NET)} as revenue
+from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join orders on c_custkey = o_custkey
+     join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey and s_nationkey = n_nationkey
+where r_name = 'ASIA' and {day("o_orderdate")} >= date '1996-01-01' and {day("o_orderdate")} < date '1998-01-01'
+group by n_name""", f"""
+select n_name, {total(NET)} as revenue
 from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey
      join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey
      join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
@@ -86,6 +92,10 @@ group by p_brand, p_type, p_size"""),
 select cast(sum({P}) as double) / 7.0 as avg_yearly from lineitem join part on p_partkey = l_partkey
 where p_brand = 'Brand#23' and {Q} < (select 0.5 * cast(sum({m("i.l_quantity")}) as double) / count(*) from lineitem i where i.l_partkey = p_partkey)"""),
     Query("q18", f"""
+select c_name, c_custkey, o_orderkey, {day("o_orderdate")} as o_day, cast({m("o_totalprice")} as double) as price, cast(q as double) as qty
+from (select l_orderkey, sum({Q}) as q from lineitem group by l_orderkey having sum({Q}) > 200) l
+join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
+order by price desc, o_day, o_orderkey limit 100""", f"""
 select c_name, c_custkey, o_orderkey, {day("o_orderdate")} as o_day, cast({m("o_totalprice")} as double) as price, {total(Q)} as qty
 from customer join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey
 where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum({Q}) > 200)
@@ -102,6 +112,13 @@ where n_regionkey = 2 and s_suppkey in (
   select l_suppkey from lineitem where l_partkey in (select p_partkey from part where p_name like 'red%')
   group by l_suppkey having sum({Q}) > 0.02 * (select sum({Q}) from lineitem where l_returnflag = 'R') / 10)"""),
     Query("q21", """
+select s_name, count(*) as numwait from supplier join nation on s_nationkey = n_nationkey join (
+  select l_suppkey, late, min(l_suppkey) over w as lo, max(l_suppkey) over w as hi,
+         min(case when late and l_returnflag = 'R' then l_suppkey end) over w as late_lo, max(case when late and l_returnflag = 'R' then l_suppkey end) over w as late_hi
+  from (select l_orderkey, l_suppkey, l_returnflag, l_shipdate > o_orderdate as late from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F') x
+  window w as (partition by l_orderkey)) l on s_suppkey = l_suppkey
+where n_regionkey = 1 and late and lo <> hi and coalesce(late_lo = l_suppkey and late_hi = l_suppkey, true)
+group by s_name order by numwait desc, s_name limit 100""", """
 select s_name, count(*) as numwait from supplier join lineitem l1 on s_suppkey = l1.l_suppkey join orders on o_orderkey = l1.l_orderkey join nation on s_nationkey = n_nationkey
 where o_orderstatus = 'F' and l1.l_shipdate > o_orderdate and n_regionkey = 1
   and exists (select 1 from lineitem l2 where l2.l_orderkey = l1.l_orderkey and l2.l_suppkey <> l1.l_suppkey)
