@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from tidemill.plans import UnsupportedQuery, check, operators, run, summary
+from tidemill.plans import UnsupportedQuery, check, explain_analyze, operators, profile, run, summary
 from tidemill.queries import ALL
 from tidemill.sources import Catalog, read_table, register, write_table
 from tidemill.streaming import hourly, stream_hourly
@@ -48,7 +48,8 @@ def test_no_python_in_the_catalogue(spark, sf_dir):
 def test_strict_surface(spark, sf_dir):
     register(spark, sf_dir, "nation")
     assert run(spark, "select count(*) as n from nation where n_regionkey = :r", r=1).first()["n"] == 5
-    for text in ("drop table nation", "insert into nation values (1)", "  delete from nation"):
+    check("select 'insert into nn' as s")
+    for text in ("drop table nation", "insert into nation values (1)", "  delete from nation", "with a as (select 1 as x) insert into nn select * from a", "from nation insert into nn select n_name"):
         with pytest.raises(UnsupportedQuery):
             check(text)
     for text, word in (("select 1 where 1 < any (select 2)", "quantified"), ("select distinct on (n_name) n_name from nation", "distinct_on"), ("select nope from nation", "nope")):
@@ -56,6 +57,21 @@ def test_strict_surface(spark, sf_dir):
             run(spark, text)
     with pytest.raises(UnsupportedQuery, match="switched off"):
         run(spark, "select 1", enabled=False)
+    with pytest.raises(UnsupportedQuery, match="each run"):
+        run(spark, "select rand() as r from nation")
+    assert run(spark, "select rand() as r from nation", volatile=True).count() == 25
+
+
+def test_quantified_comparisons_have_keys(spark, sf_dir):
+    for name in ("sub_quantified_ne_all", "sub_quantified_eq_all", "sub_quantified_ne_any"):
+        assert plan(name, spark, sf_dir).count("BroadcastNestedLoopJoin") <= 1, name  # the row of totals
+
+
+def test_profile(spark, sf_dir):
+    found = profile(ALL["agg_char_key"].run(spark, sf_dir))
+    scan = [m for _, name, m in found if name.startswith("Scan parquet")]
+    assert scan and scan[0]["numOutputRows"] == read_table(spark, sf_dir, "lineitem").count()
+    assert "HashAggregate" in explain_analyze(ALL["agg_char_key"].run(spark, sf_dir))
 
 
 def test_sources_and_sink(spark, sf_dir, tmp_path):

@@ -143,3 +143,32 @@ def test_golden_parallel_minimum(spark):
     late = spark.sql("select cast(g as int) as grp, cast(v as decimal(15,2)) as v from values (0, 5.00), (1, 7.00), (2, 9.00), (3, 11.00) t(g, v)")
     rows = base.unionAll(late).groupBy("grp").agg(F.min("v").alias("v")).orderBy("grp").collect()
     assert [(r["grp"], str(r["v"])) for r in rows] == [(0, "5.00"), (1, "7.00"), (2, "9.00"), (3, "11.00")]
+
+
+def test_equality_quantifiers_with_nulls(spark):
+    from tidemill.operators import quantified
+
+    df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    subs = {"empty": [], "ones": [(1,), (1,)], "mixed": [(1,), (2,)], "null": [(1,), (None,)]}
+    want = {
+        ("=", "ALL"): {"empty": {1, 2, None}, "ones": {1}, "mixed": set(), "null": set()},
+        ("<>", "ALL"): {"empty": {1, 2, None}, "ones": {2}, "mixed": set(), "null": set()},
+        ("<>", "ANY"): {"empty": set(), "ones": {2}, "mixed": {1, 2}, "null": {2}},
+        ("=", "ANY"): {"empty": set(), "ones": {1}, "mixed": {1, 2}, "null": {1}},
+    }
+    for (op, how), by in want.items():
+        for name, rows in subs.items():
+            got = quantified(df, F.col("x"), op, how, spark.createDataFrame(rows, "v int"), "v").collect()
+            assert {r["x"] for r in got} == by[name], (op, how, name)
+
+
+def test_asof_and_range_joins(spark):
+    from tidemill.operators import asof_join, range_join
+
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 9), (5, "a", None)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 6, "z"), ("b", None, "n"), (None, 1, "m")], "k string, rt int, v string")
+    assert {(r["id"], r["rt"], r["v"]) for r in asof_join(left, right, ["k"], "t", "rt").collect()} == {(1, 5, "y"), (2, None, None), (3, None, None), (4, None, None), (5, None, None)}
+    points = spark.createDataFrame([(1.0,), (9.9,), (10.0,), (-3.0,), (None,)], "x double")
+    spans = spark.createDataFrame([(1, 0.0, 10.0), (2, 9.5, 31.0), (3, -5.0, -3.0), (4, 4.0, 4.0), (5, None, 1.0)], "r int, low double, high double")
+    got = {(r["x"], r["r"]) for r in range_join(points, spans, "x", "low", "high", 7).collect()}
+    assert got == {(1.0, 1), (9.9, 1), (9.9, 2), (10.0, 2)}

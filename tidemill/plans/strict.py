@@ -14,19 +14,47 @@ class UnsupportedQuery(ValueError):
     """The engine won't run this statement; the message says why."""
 
 
-def check(text: str) -> None:
-    """Reject what isn't a single read-only query, by its first keyword."""
-    if not _READ.match(text):
-        raise UnsupportedQuery("only read-only queries (SELECT, WITH, VALUES) are run")
+def _nodes(plan):
+    yield plan
+    for children in (plan.children(), plan.innerChildren()):
+        for i in range(children.size()):
+            child = children.apply(i)
+            if hasattr(child, "innerChildren"):
+                yield from _nodes(child)
+
 
+def check(text: str, spark: SparkSession | None = None) -> None:
+    """Reject what isn't a single read-only query: by its first keyword, then by the commands in its parsed form.
 
-def run(spark: SparkSession, text: str, enabled: bool = True, **args: object) -> DataFrame:
+    WITH and FROM may also begin an INSERT. Text that doesn't parse is left for the caller's error.
+    """
+    if not _READ.match(text):
+        raise UnsupportedQuery("only read-only queries (SELECT, WITH, VALUES) are run")
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception:  # noqa: BLE001  spark.sql says what is wrong with it
+        return
+    for node in _nodes(plan):
+        kind = node.getClass().getSimpleName()
+        if kind == "ExplainCommand":
+            continue
+        if kind.startswith(("Insert", "Overwrite", "Append", "Merge", "Update", "Delete", "Create", "Drop", "Replace")) or kind.endswith("Command"):
+            raise UnsupportedQuery(f"only read-only queries are run, not {kind}")
+
+
+def run(spark: SparkSession, text: str, enabled: bool = True, volatile: bool = False, **args: object) -> DataFrame:
     """spark.sql for read-only queries. Named parameters (:name) are bound as literals, never spliced into the text."""
     if not enabled:
         raise UnsupportedQuery("the engine is switched off")
-    check(text)
+    check(text, spark)
     try:
-        return spark.sql(text, args=args or None)
+        df = spark.sql(text, args=args or None)
+        if not volatile and not df._jdf.queryExecution().analyzed().deterministic():
+            raise UnsupportedQuery("a function of this query gives other values on each run: pass volatile=True to allow that")
+        return df
     except (ParseException, AnalysisException) as e:
         if re.search(r"\b(any|all|some)\s*\(\s*select", text, re.IGNORECASE):
             raise UnsupportedQuery("op ANY/ALL (subquery) has no SQL syntax here: use operators.quantified") from e
