@@ -10,7 +10,7 @@ import pytest
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 #: Names that the operators use inside; here they are columns of the input.
-CLASHING = ("piece", "size", "key", "id", "line", "band", "n", "label", "score", "copies", "row", "h", "blob", "word", "part", "kept")
+CLASHING = ("piece", "size", "key", "id", "line", "band", "n", "label", "score", "copies", "row", "h", "blob", "word", "part", "kept", "__key", "__text", "__n", "__kept", "__row", "__drop", "__word", "__bits")
 
 
 def rng_text(rng: random.Random, n: int, words: list[str]) -> str:

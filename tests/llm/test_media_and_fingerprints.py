@@ -135,3 +135,33 @@ def test_order_matters(spark):
 def test_codecs_are_spread_evenly():
     got = [next(iter(tiff.read(tiff.store(tiff.payload_of(f"text {i}"))))).compression for i in range(400)]
     assert all(got.count(c) > 70 for c in (tiff.LZW, tiff.PACKBITS, tiff.NONE, tiff.DEFLATE))
+
+
+def test_damaged_files_give_an_error_row(spark):
+    """Random bytes of good files changed, in every layout: each file gives pages or an error row, and the job goes on."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        codec = (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS)[i % 4]
+        data = bytearray(tiff.write([rng.integers(0, 9, (40, 64)).astype(np.uint8)], codec, 1 + i // 4 % 2, 64 * (i % 3 == 0)))
+        for at in rng.integers(0, len(data), 1 + i % 5) if i % 2 else len(data) - rng.integers(1, 140, 3):
+            data[at] = int(rng.integers(0, 256))
+        rows.append((i, bytes(data)))
+    got = tiff.pages(spark.createDataFrame(rows, "id long, media binary"), "id", "media").collect()
+    assert {r["id"] for r in got} == set(range(400)) and any(r["error"] for r in got) and any(not r["error"] for r in got)
+
+
+def test_every_place_and_likeness_against_plain_code(spark):
+    """Fingerprints of all places, and near_edited and near_next, from those that with_fingerprint gives alone."""
+    texts = ["a b c d e f g h a b c", "one two three four five six", "x", "", "a b c d e f g h i j k l", "one two three four nine six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = [5, 4, 3, 2, 1, 0]
+    nxt = {d: order[(order.index(d) + 1) % 6] for d in order}
+    edited = {d: texts[d][: len(texts[d]) - len(texts[d]) // 3] + texts[nxt[d]][: len(texts[d]) // 3] for d in order}
+    alone = spark.createDataFrame([(t,) for t in {*texts, *edited.values()}], "t string")
+    fp = {r["t"]: list(r["f"]) for r in fingerprints.with_fingerprint(alone, "t", "f").collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(fp[a], fp[b], strict=True)) / len(fp[a])
+    for r in fingerprints.edits(docs).collect():
+        d = r["doc_id"]
+        assert r["fingerprint"] == "".join(f"{x:08x}" for x in fp[texts[d]]) and r["edited_fingerprint"] == "".join(f"{x:08x}" for x in fp[edited[d]])
+        assert r["near_edited"] == like(texts[d], edited[d]) and r["near_next"] == like(texts[d], texts[nxt[d]])

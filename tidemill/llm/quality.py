@@ -11,7 +11,7 @@ ids are broadcast, a fixed number of them, and the features of the sample go to
 covers every document and whole texts in one pass without a shuffle.
 
 A document is kept if its probability of being good is at least KEEP. NULL texts count as empty, and NULL metadata is a
-value of its own. Repeated labels of an id count by majority, NULL ones not at all. Without labels of both classes
+value of its own. Of rows with the same id the smallest text is learned from; each is scored by itself. Repeated labels of an id count by majority, NULL ones not at all. Without labels of both classes
 nothing can be learned: every document scores 1 and is kept. An empty table gives no rows.
 """
 
@@ -113,16 +113,17 @@ class Model:
         return _sigmoid(text + meta - self.prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, share: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, fold: np.ndarray, prior: float) -> Model:
-    """y: 0/1 labels; share: weights that restore the classes' true shares; fold: rows held back for calibration."""
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, share: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, fold: np.ndarray, prior: float, fit_on: np.ndarray | None = None) -> Model:
+    """y: 0/1 labels; share: weights that restore the classes' true shares; fold: rows for calibration; fit_on: the others by default."""
+    fit_on = ~fold if fit_on is None else fit_on
     views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
     given = {v: (np.zeros(0, np.int64), np.zeros(0)) for v in views}  # pseudo-labels: pool rows, values
     models = {}
     for r in range(ROUNDS + 1):
         for v, (x, pool) in views.items():
             rows, values = given[v]
-            xs, ys = np.concatenate((x[~fold], pool[rows])), np.concatenate((y[~fold], values))
-            ws = np.concatenate((share[~fold], np.where(values > 0.5, share[y > 0.5].mean(), share[y < 0.5].mean())))
+            xs, ys = np.concatenate((x[fit_on], pool[rows])), np.concatenate((y[fit_on], values))
+            ws = np.concatenate((share[fit_on], np.where(values > 0.5, share[y > 0.5].mean(), share[y < 0.5].mean())))
             models[v] = calibrate(fit(xs, ys, ws), x[fold], y[fold], share[fold])
         if r == ROUNDS or not len(pool_text):
             break
@@ -186,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").orderBy(order, "doc_id").limit(POOL)
     pool = [r["doc_id"] for r in others.collect() if r["doc_id"] not in y_of]
     wanted = spark.createDataFrame([(int(i),) for i in [*y_of, *pool]], "doc_id long")
-    got = _inputs(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(frugal(_featurize), "doc_id long, x binary").toArrow()
+    got = _inputs(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s")).select("doc_id", "s.*").mapInArrow(frugal(_featurize), "doc_id long, x binary").toArrow()
     ids = got.column("doc_id").to_pylist()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(ids), -1)
     order_rows = np.argsort(np.array(ids, np.int64), kind="stable")
@@ -199,20 +200,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     share = np.where(y > 0.5, shares[1] / total / max(1, y.sum()), shares[0] / total / max(1, (1 - y).sum()))
     fold = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i, k in zip(ids, known, strict=True) if k], bool)
     if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
-        fold = np.ones(len(y), bool)  # too few labels to hold any back
-        hold_all = True
+        fold = fit_on = np.ones(len(y), bool)  # too few labels to hold any back: all serve for both
     else:
-        hold_all = False
+        fit_on = ~fold
     text, meta = x[:, :TEXT], x[:, TEXT:]
     c = text[:, : 1 << BITS]
     mean = (c / np.maximum(1, c.sum(axis=1, keepdims=True))).mean(axis=0)
     text = _frequencies(text, mean)
     prior = float(np.log(shares[1] / shares[0]))
-    if hold_all:
-        models = [calibrate(fit(v[known], y, share), v[known], y, share) for v in (text, meta)]
-        model = Model(models[0], models[1], prior)
-    else:
-        model = co_train(text[known], meta[known], y, share, text[~known], meta[~known], fold, prior)
+    model = co_train(text[known], meta[known], y, share, text[~known], meta[~known], fold, prior, fit_on)
     model.text.mean = mean
     return model
 

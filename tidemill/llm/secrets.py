@@ -11,7 +11,8 @@ Plan: narrow (path, blob) rows; one shuffle of texts by blob, after each task ha
 with a third of all rows moves once a task; a join of findings by blob whose hot side Spark may split.
 
 NULL text counts as empty. Ids may be NULL or repeated: each row gets its findings. An empty table gives no rows and an
-empty ledger. Texts are scanned whole.
+empty ledger. Texts are scanned whole. A ledger that holds a blob and rule twice, after a retry or two scans at once, gives
+each span once. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     todo.select("blob", F.col("missing").alias("rules"), found.alias("found")).write.mode("append").parquet(ledger)
     known = read_ledger(spark, ledger).select("blob", F.filter("found", lambda x: F.array_contains(names, x["rule"])).alias("found"))
     if not fresh:
-        known = known.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+        known = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
     paths = versions.select("doc_id", "blob")
     return paths.join(known, "blob", "left").select("doc_id", "blob", F.coalesce("found", F.array().cast("array<struct<rule:string,start:long,end:long>>")).alias("found"))
 

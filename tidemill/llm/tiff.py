@@ -250,9 +250,12 @@ def read(data: bytes) -> Iterator[Page]:
         seen.add(at)
         try:
             tags, nxt = _tags(data, at, e)
-        except struct.error as x:
-            raise TiffError("a directory lies outside the file") from x
-        yield _page(data, tags, e)
+            page = _page(data, tags, e)
+        except TiffError:
+            raise
+        except (struct.error, zlib.error, ArithmeticError, LookupError, TypeError, ValueError) as x:
+            raise TiffError(f"the file is damaged: {x}") from x
+        yield page
         at = nxt
 
 
@@ -327,22 +330,25 @@ def pages(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row for each page of the files in column ``media``: the key, page, size, layout, and the samples as bytes."""
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
+    types = (pa.int32(),) * 7 + (pa.bool_(), pa.binary(), pa.string())
+    names = [key, *[x.split()[0] for x in _PAGES.split(", ")]]
+
+    def row(k: pa.Array, values: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([k, *[pa.array([v], t) for v, t in zip(values, types, strict=True)]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                k, data = b.column(0).slice(i, 1), b.column(1)[i].as_py()
-                rows, error = [], None
+                k, data, n = b.column(0).slice(i, 1), b.column(1)[i].as_py(), 0
                 try:
-                    for n, p in enumerate(read(data)):
-                        rows.append((n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data.tobytes(), None))
+                    for p in read(data):
+                        yield row(k, (n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data.tobytes(), None))
+                        n += 1
+                    error = "" if n else "no pages"
                 except TiffError as x:
-                    error = str(x)
-                if error or not rows:
-                    rows.append((len(rows), None, None, None, None, None, None, None, None, error or "no pages"))
-                types = (pa.int32(),) * 7 + (pa.bool_(), pa.binary(), pa.string())
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([k] * len(rows)), *cols], names=[key, *[x.split()[0] for x in _PAGES.split(", ")]])
+                    error = str(x) or "damaged"
+                if error:
+                    yield row(k, (n, *[None] * 8, error))
 
     return df.select(key, media).mapInArrow(frugal(run), f"`{key}` {kind}, {_PAGES}")
 
@@ -354,7 +360,8 @@ def digests(docs: DataFrame) -> DataFrame:
     """Each text of docs(doc_id, text) stored as a TIFF file, read back page by page, and described.
 
     The file lives only within its row: a checksum of what was read, not of what was written, is returned. NULL text
-    counts as empty, which is stored as 64 zero bytes. Equal texts give equal values; ids may be NULL or repeated.
+    counts as empty, which is stored as 64 zero bytes. Equal texts give equal values; ids may be NULL or repeated. Very long
+    texts get a page for each PAGE_ROWS rows. An empty table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)
     names = [x.split()[0] for x in _DIGEST.split(", ")]
