@@ -13,7 +13,7 @@ import unicodedata
 import numpy as np
 
 #: Bytes that a worker's cache may hold before it starts anew, and the longest chunk that is kept.
-CACHE_BYTES, LONGEST = 56 << 20, 64
+CACHE_BYTES, LONGEST = 64 << 20, 64
 #: What an entry costs beside four bytes a character and its ids.
 ENTRY = 220
 #: Texts on which the cache has to agree with the whole tokenizer; with another vocabulary it may not, and isn't used then.
