@@ -40,8 +40,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     held_out = fold(F.col("doc_id"), 5) == 0
-    langs, matrix = train(docs.filter(~held_out).select("lang", "text"))
-    return predict(docs, langs, matrix, held_out)
+    return predict(docs, train(docs.filter(~held_out).select("lang", "text")), held_out)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
