@@ -26,11 +26,42 @@ def test_language_held_out_accuracy(spark, docs, small_dir):
 
 def test_language_without_letters_or_training(spark):
     df = spark.createDataFrame([(1, None, "en"), (2, "12 34", "en"), (3, "the cat", "en"), (4, "le chat", "fr")], "doc_id long, text string, lang string")
-    langs, matrix = langid.train(df)
-    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, langs, matrix, F.lit(False)).collect()}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, langid.train(df), F.lit(False)).collect()}
     assert got == {1: "und", 2: "und", 3: "en", 4: "fr"}
-    langs, matrix = langid.train(df.withColumn("lang", F.lit(None).cast("string")))
-    assert {r["lang_pred"] for r in langid.predict(df, langs, matrix, F.lit(False)).collect()} == {"und"}
+    model = langid.train(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in langid.predict(df, model, F.lit(False)).collect()} == {"und"}
+
+
+def test_language_against_plain_naive_bayes(spark, docs):
+    """Every n-gram by itself, and every language at once; the operator in blocks of one, two and all languages."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.orderBy("doc_id").collect()][:60]
+    rows += [(90, "même", "a1"), (91, "même", "b2"), (92, "même", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def grams(text):
+        t = f" {text.lower()} "
+        for n in ngrams.ORDERS:
+            for i in range(len(t) - n + 1):
+                yield int(ngrams.hashes(np.array([ord(c) for c in t[i : i + n]], np.uint32), n, langid.BITS)[0])
+
+    seen = [(d, list(grams(t)), lang) for d, t, lang in rows]
+    count = {lang: Counter() for lang in sorted({x for _, _, x in seen if x is not None})}
+    for _, g, lang in seen:
+        if lang is not None:
+            count[lang].update(g)
+    size = {lang: sum(c.values()) + langid.SMOOTHING * (1 << langid.BITS) for lang, c in count.items()}
+    want = {}
+    for d, g, _ in seen:
+        score = {lang: sum(math.log((c[b] + langid.SMOOTHING) / size[lang]) for b in g) for lang, c in count.items()}
+        best = max(score, key=score.get)
+        want[d] = best, 1 / sum(math.exp(x - score[best]) for x in score.values())
+    assert want[92][0] == "a1" and abs(want[92][1] - 0.5) < 0.1
+    model = langid.train(df.select("lang", "text"))
+    for block in (1, 2, langid.BLOCK):
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model, F.lit(False), block).collect()}
+        assert got.keys() == want.keys()
+        for d, (lang, p) in want.items():
+            assert got[d][0] == lang and math.isclose(got[d][1], p, rel_tol=1e-2)
 
 
 def test_ngram_blocks_agree():
@@ -66,11 +97,81 @@ def test_calibration_and_views():
     text = rng.standard_normal((600, 5)) + y[:, None]
     meta = rng.standard_normal((600, 3)) + 0.5 * y[:, None]
     fold = np.arange(600) % 4 == 0
-    m = quality.co_train(text.astype("f4"), meta.astype("f4"), y, np.ones(600), text[:50].astype("f4"), meta[:50].astype("f4"), fold, math.log(4))
+    given = {"text": (text[:5].astype("f4"), y[:5]), "meta": (meta[:0].astype("f4"), y[:0])}
+    m = quality.co_train(text.astype("f4"), meta.astype("f4"), y, np.ones(600), fold, math.log(4), lambda model, n: given)
     p = m.combine(m.text.logit(text), m.meta.logit(meta))
     assert ((p > 0.5) == (y > 0.5)).mean() > 0.85 and abs(p.mean() - y.mean()) < 0.1
 
 
+def test_quality_against_plain_co_training(spark, monkeypatch):
+    """Each document by itself, one view after the other; the pool is every document without a label."""
+    monkeypatch.setattr(quality, "SURE", 0.8)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        good = i % 3 != 0
+        text = " ".join(rng.choice(["river", "mountain", "history", "letter"] if good else ["buy", "now", "cheap", "cheap"], int(rng.integers(3, 40))))
+        rows.append((i, text, "en", ["a", "b"][int(good) if i % 10 else 0], len(text)))
+    rows += [(200, rows[1][1], "en", "b", 9), (200, None, None, None, None), (None, "river history", "en", "b", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = {i: int(i % 3 != 0) for i in range(60)}
+    model = quality.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+
+    def view(row):
+        _, text, lang, source, n = row
+        t, words = f" {text or ''} ", (text or "").split()
+        c = np.zeros(1 << quality.BITS)
+        for k in ngrams.ORDERS:
+            for i in range(len(t) - k + 1):
+                c[ngrams.hashes(np.array([ord(x) for x in t[i : i + k]], np.uint32), k, quality.BITS)[0]] += 1
+        same = [sum(a == b for a, b in zip(words[g:], words, strict=False)) / max(1, len(words)) for g in quality.LAGS]
+        return c, same, quality.meta_features(source, lang, n)
+
+    known = [view(r) for r in rows if r[0] in labels]
+    y = np.array([labels[r[0]] for r in rows if r[0] in labels], float)
+    share = 1 / len(y) * np.ones(len(y))
+    mean = sum(c / max(1, c.sum()) for c, _, _ in known) / len(known)
+    frequency = lambda c, same: np.append((c + quality.SHRINK * mean) / (c.sum() + quality.SHRINK), same).astype("f4")
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    pool = [view(r) for r in rows if r[0] not in labels]
+    drawn = []
+
+    def draw(m, n):
+        out = {"text": ([], []), "meta": ([], [])}
+        seen = set()
+        for c, same, meta in pool:
+            f = frequency(c, same)
+            p = {"text": sigmoid(m.text.logit(f)), "meta": sigmoid(m.meta.logit(meta))}
+            scores = round(p["text"], 6), round(p["meta"], 6)
+            if scores in seen:
+                continue
+            seen.add(scores)
+            for v, other, x in (("text", "meta", f), ("meta", "text", meta)):
+                if p[other] >= quality.SURE or p[other] <= 1 - quality.SURE:
+                    out[v][0].append(x)
+                    out[v][1].append(float(p[other] >= 0.5))
+        drawn.append(len(out["text"][1]) + len(out["meta"][1]))
+        return {v: (np.array(x, "f4").reshape(len(x), -1) if x else np.zeros((0, {"text": quality.TEXT, "meta": quality.META}[v]), "f4"), np.array(z)) for v, (x, z) in out.items()}
+
+    x = np.array([frequency(c, same) for c, same, _ in known])
+    fold = np.array([held(r[0], 4) for r in rows if r[0] in labels])
+    want = quality.co_train(x, np.array([m for _, _, m in known]), y, share, fold, math.log(y.sum() / (1 - y).sum()), draw)
+    assert len(drawn) == quality.ROUNDS and min(drawn) > 50
+    scored = {(r["doc_id"], round(r["score"], 2)) for r in quality.score(docs, model).collect()}
+    plain = {(r[0], round(float(want.combine(want.text.logit(frequency(*view(r)[:2])), want.meta.logit(view(r)[2]))), 2)) for r in rows}
+    near = lambda a, b: all(any(d == e and abs(p - q) <= 0.021 for e, q in b) for d, p in a)
+    assert near(scored, plain) and near(plain, scored)
+
+
+def test_quality_pool_counts_copies_once_and_takes_all_rows(spark):
+    rows = [(i, 0.99, 0.5) for i in range(500)] + [(i, 0.98 + i * 1e-5, 0.5) for i in range(500, 900)] + [(900, 0.5, 0.01)]
+    scored = spark.createDataFrame(rows, "doc_id long, text_score double, meta_score double").repartition(4)
+    got = quality.picks(scored, 50).collect()
+    assert sum(r["doc_id"] < 500 for r in got) <= 1 and sum(r["view"] == "text" for r in got) == 50
+    assert [(r["label"], r["doc_id"]) for r in got if r["view"] == "meta"] == [(0, 900)]
+    assert {r["doc_id"] for r in quality.picks(scored, 1000).collect()} == {0, *range(500, 900), 900}
+
+
 def test_gru_gradients():
     g = Gru(10, 4, members=4)
     g.p = {k: v.astype(np.float64) for k, v in g.p.items()}

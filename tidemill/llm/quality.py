@@ -2,24 +2,28 @@
 
 The text view is a logistic regression over the frequencies of hashed character n-grams of the whole text, drawn towards
 the mean in short texts, and the shares of words that repeat the one or two words before; the metadata view is one over
-source, language and size. Both start from labelled documents. In each round each view labels the pool documents it is
-sure of, by its calibrated probability, for the other one. In the end the views are calibrated on labelled documents
-that neither has learned from, and their log-odds are combined.
+source, language and size. Both start from labelled documents. In each round each view scores all other documents and
+labels some of those it is sure of, by its calibrated probability, for the other one. In the end the views are
+calibrated on labelled documents that neither has learned from, and their log-odds are combined.
 
-The fit uses a bounded sample (PER_CLASS labelled documents of each class, POOL others, chosen by a hash of their id):
-ids are broadcast, a fixed number of them, and the features of the sample go to the driver, 8 KB a document. Scoring
-covers every document and whole texts in one pass without a shuffle.
+The labelled sample is bounded: PER_CLASS documents of each class, chosen by a hash of their id. The pool is every other
+row, whole, in one pass a round. Of all that a view is sure of, a hash picks PER_ROUND of each class in the first round,
+twice as many in the second, and so on; rows with equal scores, as copies have, count as one there, so that a group of
+copies can't fill a round. Only ids of the sample and of what was picked are broadcast, a fixed number of them, and only
+their features go to the driver, 8 KB a document. The last scoring is one pass without a shuffle.
 
 A document is kept if its probability of being good is at least KEEP. NULL texts count as empty, and NULL metadata is a
-value of its own. Of rows with the same id the smallest text is learned from; each is scored by itself. Repeated labels of an id count by majority, NULL ones not at all. Without labels of both classes
-nothing can be learned: every document scores 1 and is kept. An empty table gives no rows.
+value of its own. Of labelled rows with the same id the smallest text is learned from; each row is scored by itself.
+Repeated labels of an id count by majority, NULL ones not at all. Without labels of both classes nothing can be learned:
+every document scores 1 and is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import ngrams
-from tidemill.llm.common import fresh, frugal, ship
+from tidemill.llm.common import drop, fresh, frugal, ship, stored
 from tidemill.llm.shingles import word_hashes
 
 BITS = 11
-PER_CLASS, POOL = 1200, 1500
+PER_CLASS = 1200
 ROUNDS, SURE, PER_ROUND = 3, 0.97, 300
 KEEP = 0.5
 META = 64 + 16 + 24
@@ -113,27 +117,29 @@ class Model:
         return _sigmoid(text + meta - self.prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, share: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, fold: np.ndarray, prior: float, fit_on: np.ndarray | None = None) -> Model:
-    """y: 0/1 labels; share: weights that restore the classes' true shares; fold: rows for calibration; fit_on: the others by default."""
+#: For each view the features of the documents that the other one labels, and those labels.
+Given = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, share: np.ndarray, fold: np.ndarray, prior: float, draw: Callable[[Model, int], Given], fit_on: np.ndarray | None = None) -> Model:
+    """y: 0/1 labels; share: weights that restore the classes' true shares; fold: rows for calibration; fit_on: the others by default.
+
+    draw(model, n): up to n documents of each class that either view of the model is sure of.
+    """
     fit_on = ~fold if fit_on is None else fit_on
-    views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
-    given = {v: (np.zeros(0, np.int64), np.zeros(0)) for v in views}  # pseudo-labels: pool rows, values
-    models = {}
+    views = {"text": text, "meta": meta}
+    given: Given = {v: (x[:0], y[:0]) for v, x in views.items()}
     for r in range(ROUNDS + 1):
-        for v, (x, pool) in views.items():
-            rows, values = given[v]
-            xs, ys = np.concatenate((x[fit_on], pool[rows])), np.concatenate((y[fit_on], values))
+        models = {}
+        for v, x in views.items():
+            more, values = given[v]
+            xs, ys = np.concatenate((x[fit_on], more)), np.concatenate((y[fit_on], values))
             ws = np.concatenate((share[fit_on], np.where(values > 0.5, share[y > 0.5].mean(), share[y < 0.5].mean())))
             models[v] = calibrate(fit(xs, ys, ws), x[fold], y[fold], share[fold])
-        if r == ROUNDS or not len(pool_text):
-            break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(models[v].logit(views[v][1]))
-            good, bad = np.flatnonzero(p >= SURE), np.flatnonzero(p <= 1 - SURE)
-            take = [good[np.argsort(-p[good], kind="stable")][: PER_ROUND * (r + 1)], bad[np.argsort(p[bad], kind="stable")][: PER_ROUND * (r + 1)]]
-            rows = np.concatenate(take)
-            given[other] = (rows, np.concatenate((np.ones(len(take[0])), np.zeros(len(take[1])))))
-    return Model(models["text"], models["meta"], prior)
+        model = Model(models["text"], models["meta"], prior)
+        if r < ROUNDS:
+            given = draw(model, PER_ROUND * (r + 1))
+    return model
 
 
 def repeats(texts: list[str | None]) -> np.ndarray:
@@ -172,10 +178,54 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(one("doc_id", "long"), one("text", "string"), one("lang", "string"), one("source", "string"), one("n_chars", "long"))
 
 
+def _features(docs: DataFrame, ids: list[int]) -> tuple[list[int], np.ndarray]:
+    """Ids in order and their features, of rows whose doc_id is among ids: a bounded number of them."""
+    if not ids:
+        return [], np.zeros((0, TEXT + META), np.float32)
+    wanted = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id long")
+    one = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s"))
+    got = one.select("doc_id", "s.*").mapInArrow(frugal(_featurize), "doc_id long, x binary").toArrow()
+    found = got.column("doc_id").to_pylist()
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(found), -1)
+    order = np.argsort(np.array(found, np.int64), kind="stable")
+    return [found[i] for i in order], x[order]
+
+
+def picks(scored: DataFrame, n: int) -> DataFrame:
+    """(view, label, doc_id): up to n documents of each view and class that it is sure of; equal scores count as one document."""
+    rows = []
+    for v in ("text", "meta"):
+        for label, sure in ((1, F.col(f"{v}_score") >= SURE), (0, F.col(f"{v}_score") <= 1 - SURE)):
+            one = scored.filter(sure).groupBy(F.round("text_score", 6), F.round("meta_score", 6)).agg(F.min("doc_id").alias("doc_id"))
+            rows.append(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select(F.lit(v).alias("view"), F.lit(label).alias("label"), "doc_id"))
+    return reduce(DataFrame.unionAll, rows)
+
+
+def _drawer(pool: DataFrame, mean: np.ndarray) -> Callable[[Model, int], Given]:
+    """draw of ``co_train`` over a pool(doc_id, text, lang, source, n_chars) of any size."""
+
+    def draw(model: Model, n: int) -> Given:
+        model.text.mean = mean
+        sure = F.greatest("text_score", "meta_score") >= SURE
+        sure |= F.least("text_score", "meta_score") <= 1 - SURE
+        scored = stored(score(pool, model).filter(sure).select("doc_id", "text_score", "meta_score"), "sure")
+        got = picks(scored, n).collect()  # 4 n rows at most
+        drop(scored)
+        ids, x = _features(pool, sorted({r["doc_id"] for r in got}))
+        row = {i: at for at, i in enumerate(ids)}
+        out: Given = {}
+        for v, other in (("text", "meta"), ("meta", "text")):
+            label = {r["doc_id"]: r["label"] for r in got if r["view"] == other}
+            part = x[[row[i] for i in sorted(label)]]
+            out[v] = (_frequencies(part[:, :TEXT], mean) if v == "text" else part[:, TEXT:], np.array([label[i] for i in sorted(label)], np.float64))
+        return out
+
+    return draw
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on docs(doc_id, text, lang, source, n_chars) and labels(doc_id, quality)."""
-    spark: SparkSession = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     votes = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     shares = {r["quality"]: r["n"] for r in votes.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(shares) < 2:
@@ -184,31 +234,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     picked = [votes.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(PER_CLASS) for q in (0, 1)]
     labelled = picked[0].unionByName(picked[1]).toArrow().to_pydict()
     y_of = dict(zip(labelled["doc_id"], labelled["quality"], strict=True))
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").orderBy(order, "doc_id").limit(POOL)
-    pool = [r["doc_id"] for r in others.collect() if r["doc_id"] not in y_of]
-    wanted = spark.createDataFrame([(int(i),) for i in [*y_of, *pool]], "doc_id long")
-    got = _inputs(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s")).select("doc_id", "s.*").mapInArrow(frugal(_featurize), "doc_id long, x binary").toArrow()
-    ids = got.column("doc_id").to_pylist()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(ids), -1)
-    order_rows = np.argsort(np.array(ids, np.int64), kind="stable")
-    ids, x = [ids[i] for i in order_rows], x[order_rows]
-    known = np.array([i in y_of for i in ids], bool)
-    y = np.array([y_of.get(i, 0) for i in ids], np.float64)[known]
+    rows = _inputs(docs)
+    ids, x = _features(rows, list(y_of))
+    y = np.array([y_of[i] for i in ids], np.float64)
     if len(set(y.tolist())) < 2:
         return None
     total = sum(shares.values())
     share = np.where(y > 0.5, shares[1] / total / max(1, y.sum()), shares[0] / total / max(1, (1 - y).sum()))
-    fold = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i, k in zip(ids, known, strict=True) if k], bool)
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids], bool)
     if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
         fold = fit_on = np.ones(len(y), bool)  # too few labels to hold any back: all serve for both
     else:
         fit_on = ~fold
-    text, meta = x[:, :TEXT], x[:, TEXT:]
-    c = text[:, : 1 << BITS]
-    mean = (c / np.maximum(1, c.sum(axis=1, keepdims=True))).mean(axis=0)
-    text = _frequencies(text, mean)
-    prior = float(np.log(shares[1] / shares[0]))
-    model = co_train(text[known], meta[known], y, share, text[~known], meta[~known], fold, prior, fit_on)
+    c = x[:, : 1 << BITS]
+    mean = ((c / np.maximum(1, c.sum(axis=1, keepdims=True))) * share[:, None]).sum(axis=0).astype(np.float32)
+    # a row's id here is a hash of all of it, so that rows with equal or NULL ids stay apart
+    mine = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id long")
+    pool = rows.join(F.broadcast(mine), "doc_id", "left_anti").select(F.xxhash64(*rows.columns).alias("doc_id"), *rows.columns[1:])
+    model = co_train(_frequencies(x[:, :TEXT], mean), x[:, TEXT:], y, share, fold, float(np.log(shares[1] / shares[0])), _drawer(pool, mean), fit_on)
     model.text.mean = mean
     return model
 
