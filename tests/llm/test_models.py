@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import gru, langid, ngrams, quality, queries
@@ -255,3 +256,33 @@ def test_gru_stream_without_remainder_and_vocabulary_that_grows():
     assert gru.classes_for(4_000_000) == (48, 32)
     sizes = [math.prod(gru.classes_for(n)) for n in (10**6, 10**8, 10**10)]
     assert sizes[0] < sizes[1] < sizes[2]
+
+
+def test_gru_late_steps_share_outputs(monkeypatch):
+    """One document is much longer than the others: its lone steps are gathered, and nothing is left out or scored twice."""
+    g, calls = Gru(10, 4, members=4), []
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, 10, n), 0) for n in (2000, *[7] * 30)]
+    want = [g.score([d], 0, lanes=1, window=1 << 20)[0] for d in docs]
+    plain = Gru.log_probs
+    monkeypatch.setattr(Gru, "log_probs", lambda self, s, y: calls.append(len(y)) or plain(self, s, y))
+    assert np.allclose(g.score(docs, 0, lanes=16, window=8), want, atol=1e-3)
+    assert sum(calls) == sum(map(len, docs))
+    assert len(calls) <= sum(map(len, docs)) // (16 * 8) + 1
+
+
+def test_gru_shifted_logits():
+    g = Gru(10, 4, members=4)
+    g.p["bo"] += np.arange(12, dtype=np.float32).reshape(3, 4) * 100
+    g.p["bc"] += np.float32([0, 500, 100])
+    h = np.random.default_rng(5).standard_normal((3, 4)).astype(np.float32)
+    assert np.allclose([np.exp([g.log_probs(x[None], np.array([t]))[0] for t in range(10)]).sum() for x in h], 1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3000])
+def test_head_finds_words_as_a_binary_search(n):
+    rng = np.random.default_rng(n)
+    hashes = np.unique(np.concatenate((rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, 99, n // 2, dtype=np.uint64))))
+    head = gru.Head(hashes, *[np.ones(len(hashes), np.int64)] * 2, 0, 0, 0, 0, 0, 1.0, np.ones(1), 1)
+    h = np.concatenate((hashes, hashes + np.uint64(1), rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+    assert (head.find(h) == np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)).all()

@@ -14,8 +14,8 @@ Training is truncated backpropagation through time over windows, on all training
 the id deals them to rounds that grow (ROUNDS). In a round every task trains a copy of the model on its own documents;
 the copies are averaged, weighted by their tokens, up a tree of tasks, and the next round starts from the average. A
 document may cross from one lane or chunk into the next; there the state starts anew, but no token is left out. The
-averages depend on how the table is cut into tasks. Scoring lays documents on LANES lanes, longest first, in windows; the state of a lane is carried from
-window to window and starts anew with a document, so a document's log-likelihood is that of its whole length.
+averages depend on how the table is cut into tasks. Scoring lays documents on LANES lanes, longest first; the state of a lane is carried from
+step to step and starts anew with a document, so a document's log-likelihood is that of its whole length.
 
 NULL text counts as empty: one end token. Ids may be NULL or repeated. Without training documents all words are unseen
 and the model is uniform. An empty table gives no rows.
@@ -40,6 +40,8 @@ HIDDEN, CLASSES, MEMBERS = 16, 48, 32
 GROWTH = 4
 #: Most words whose counts are broadcast (16 bytes each). A threshold on the count picks them, so no task sorts all words.
 HEAD = 1 << 18
+#: First bits of a hash that look up where to begin in the broadcast words.
+PREFIX = 19
 #: Upper ends of the rounds of training, in sixty-fourths of the documents.
 ROUNDS = (2, 16, 64)
 #: Copies of the model that a task of the averaging tree takes, and that the driver takes at last.
@@ -64,6 +66,11 @@ def spread(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
     return x, x @ np.ones(x.shape[1], x.dtype)
 
 
+def stable_order(x: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers from 0 to ``below``; in 16 bits, where they fit, numpy sorts by radix, several times as fast."""
+    return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
+
+
 class Gru:
     """Parameters by name. Tokens are numbered by frequency; class = token // MEMBERS."""
 
@@ -95,36 +102,40 @@ class Gru:
         new += h
         return new, z, r, c, hu[:, 2 * k :]
 
-    def bounds(self) -> tuple[float, np.ndarray, np.ndarray]:
-        """Bounds on the absolute logits of the classes and within each class (a state lies in -1 to 1), and the biases within."""
+    def bounds(self) -> tuple[float, float]:
+        """Bounds on the absolute logits of the classes and within the classes (a state lies in -1 to 1)."""
         top = float((np.abs(self.p["wc"]).sum(axis=0) + np.abs(self.p["bc"])).max())
-        bias = self.p["bo"] + self.pad
-        inner = (np.abs(self.p["wo"]).sum(axis=2) + np.abs(self.p["bo"])).max(axis=1)
-        return top, inner, bias
+        return top, float((np.abs(self.p["wo"]).sum(axis=2) + np.abs(self.p["bo"])).max())
+
+    def inner(self, states: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Logits within the class of each state, for states by class that end at ``ends``; the states with a 1, for the bias; the classes with rows."""
+        one = np.concatenate((states, np.ones((len(states), 1), states.dtype)), axis=1)
+        weights = np.concatenate((self.p["wo"], (self.p["bo"] + self.pad)[:, :, None]), axis=2).astype(states.dtype, copy=False)
+        out, parts, a = np.empty((len(states), self.m), states.dtype), [], 0
+        for c, b in enumerate(ends.tolist()):
+            if a < b:
+                np.matmul(one[a:b], weights[c].T, out=out[a:b])
+                parts.append((c, a, b))
+                a = b
+        return out, one, parts
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after each state; one product for each class that occurs."""
-        bound, inner, bias = self.bounds()
-        order = np.argsort(targets // self.m, kind="stable")
+        bound, within = self.bounds()
+        order = stable_order(targets // self.m, self.c)
         s, y = states[order], targets[order]
         kind = y // self.m
         x, rows = s @ self.p["wc"], np.arange(len(y))
         x += self.p["bc"]
-        picked = np.empty(len(y), np.float32)
         if bound > SAFE:
             x -= x.max(axis=1, keepdims=True)
-        picked[:] = x[rows, kind]
+        picked = x[rows, kind]
         total = np.log(spread(x, 0.0)[1])
-        ends = np.cumsum(np.bincount(kind, minlength=self.c))
-        member = y - kind * self.m
-        for c, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
-            if a < b:
-                q = s[a:b] @ self.p["wo"][c].T
-                q += bias[c]
-                if inner[c] > SAFE:
-                    q -= q.max(axis=1, keepdims=True)
-                picked[a:b] += q[rows[: b - a], member[a:b]]
-                total[a:b] += np.log(spread(q, 0.0)[1])
+        q = self.inner(s, np.cumsum(np.bincount(kind, minlength=self.c)))[0]
+        if within > SAFE:
+            q -= q.max(axis=1, keepdims=True)
+        picked += q[rows, y - kind * self.m]
+        total += np.log(spread(q, 0.0)[1])
         out = np.empty(len(y), np.float64)
         out[order] = picked.astype(np.float64) - total
         return out
@@ -185,11 +196,11 @@ class Gru:
             tape.append((h0, z, r, c, hu))
             states[t] = h
         flat, y = states.reshape(-1, k), targets.T.reshape(-1)
-        order = np.argsort(y, kind="stable")
+        order = stable_order(y + 1, self.n + 1)
         order = order[np.searchsorted(y[order], 0) :]
         s, y, n = flat[order], y[order], len(order)  # by class, without what lies beyond a lane's end
         group, rows = y // self.m, np.arange(n)
-        bound, inner, bias = self.bounds()
+        bound, within = self.bounds()
         d = s @ self.p["wc"]
         d += self.p["bc"]
         if bound > SAFE:
@@ -201,54 +212,50 @@ class Gru:
         d[rows, group] -= 1 / n
         grads["wc"][:], grads["bc"][:] = s.T @ d, d.sum(axis=0)
         ds = d @ self.p["wc"].T
-        ends = np.searchsorted(y, np.arange(1, self.c + 1) * self.m)
+        e, one, parts = self.inner(s, np.searchsorted(y, np.arange(1, self.c + 1) * self.m))
+        if within > SAFE:
+            e -= e.max(axis=1, keepdims=True)
         member = y - group * self.m
-        for c, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
-            if a < b:
-                e = s[a:b] @ self.p["wo"][c].T
-                e += bias[c]
-                if inner[c] > SAFE:
-                    e -= e.max(axis=1, keepdims=True)
-                at = rows[: b - a], member[a:b]
-                loss -= e[at].sum(dtype=np.float64)
-                e, total = spread(e, 0.0)
-                loss += np.log(total).sum(dtype=np.float64)
-                e *= (1 / (total * n))[:, None]
-                e[at] -= 1 / n
-                grads["wo"][c], grads["bo"][c] = e.T @ s[a:b], e.sum(axis=0)
-                ds[a:b] += e @ self.p["wo"][c]
+        loss -= e[rows, member].sum(dtype=np.float64)
+        e, total = spread(e, 0.0)
+        loss += np.log(total).sum(dtype=np.float64)
+        e *= (1 / (total * n))[:, None]
+        e[rows, member] -= 1 / n
+        for c, a, b in parts:
+            both = e[a:b].T @ one[a:b]
+            grads["wo"][c], grads["bo"][c] = both[:, :k], both[:, k]
+            ds[a:b] += e[a:b] @ self.p["wo"][c]
         back = np.zeros((steps * lanes, k), kind)
         back[order] = ds
         back = back.reshape(steps, lanes, k)
+        h0, z, r, c, hu = (np.stack(x) for x in zip(*tape, strict=True))
+        to_c = z * (1 - c * c)
+        factors = np.concatenate((z * (1 - z) * (c - h0), to_c * hu * r * (1 - r), to_c * r), axis=2).reshape(steps, lanes, 3, k)
         dh, ut = np.zeros((lanes, k), kind), np.ascontiguousarray(self.p["u"].T)
-        at_gates, at_hidden = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
-        befores = np.empty((steps, lanes, k), kind)
-        for t in range(steps - 1, -1, -1):
-            h0, z, r, c, hu = tape[t]
+        every, at_hidden = np.empty((steps, lanes, k), kind), np.empty((steps, lanes, 3 * k), kind)
+        for t in range(steps - 1, -1, -1):  # all gates' gradients are multiples of the state's
             dh += back[t]
-            dz = dh * z
-            dc = dz * (1 - c * c)
-            g, gu = at_gates[t], at_hidden[t]
-            np.multiply(dz * (1 - z), c - h0, out=g[:, :k])
-            np.multiply(dc * hu, r * (1 - r), out=g[:, k : 2 * k])
-            g[:, 2 * k :] = dc
-            gu[:, : 2 * k] = g[:, : 2 * k]
-            np.multiply(dc, r, out=gu[:, 2 * k :])
-            befores[t] = h0
-            dh -= dz
-            dh += gu @ ut
+            every[t] = dh
+            np.multiply(factors[t], dh[:, None, :], out=at_hidden[t].reshape(lanes, 3, k))
+            dh -= dh * z[t]
+            dh += at_hidden[t] @ ut
             dh *= fresh[:, t, None]
-        grads["u"][:] = befores.reshape(-1, k).T @ at_hidden.reshape(-1, 3 * k)
+        at_gates = at_hidden.copy()
+        np.multiply(every, to_c, out=at_gates[:, :, 2 * k :])
+        grads["u"][:] = h0.reshape(-1, k).T @ at_hidden.reshape(-1, 3 * k)
         token = inputs.T.reshape(-1)
-        order = np.argsort(token, kind="stable")
+        order = stable_order(token, self.n)
         token = token[order]
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         grads["x"][token[first]] = np.add.reduceat(at_gates.reshape(-1, 3 * k)[order], first, axis=0)
         return float(loss / n), grads, h
 
     def score(self, docs: list[np.ndarray], start: int, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
-        """Natural log-likelihood of each document (tokens with the end at their end); state carried across windows."""
-        out = np.zeros(len(docs))
+        """Natural log-likelihood of each document (tokens with the end at their end); state carried from step to step.
+
+        Outputs are computed for lanes * window states at a time: late steps, with few lanes left, are gathered.
+        """
+        out, most = np.zeros(len(docs)), lanes * window
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         lanes = max(1, min(lanes, len(docs)))
         heap, on = [(0, j) for j in range(lanes)], [[] for _ in range(lanes)]
@@ -263,18 +270,21 @@ class Gru:
         owner = np.concatenate([np.full(len(docs[i]), i) for lane in on for i in lane]) if len(docs) else flat
         begin = np.cumsum(total) - total
         h, last = np.zeros((lanes, self.h), np.float32), np.full(lanes, start)
-        for at in range(0, int(total[0]) if len(total) else 0, window):
-            states, targets, owners = [], [], []
-            for t in range(at, min(at + window, int(total[0]))):
-                n = int(np.searchsorted(-total, -t, side="left"))  # lanes that still have tokens
-                h, last, where = h[:n], last[:n], begin[:n] + t
-                h = self.step(last, h * (last != start)[:, None])[0]
-                last = flat[where]
-                states.append(h)
-                targets.append(last)
-                owners.append(owner[where])
-            y = np.concatenate(targets)
-            out += np.bincount(np.concatenate(owners), self.log_probs(np.concatenate(states), y), minlength=len(docs))
+        steps, states, targets, owners, size = int(total[0]) if len(total) else 0, [], [], [], 0
+        left = len(total) - np.searchsorted(total[::-1], np.arange(steps), side="right")
+        for t in range(steps):
+            n = int(left[t])  # lanes that still have tokens
+            h, last, where = h[:n], last[:n], begin[:n] + t
+            h = self.step(last, h * (last != start)[:, None])[0]
+            last = flat[where]
+            states.append(h)
+            targets.append(last)
+            owners.append(owner[where])
+            size += n
+            if size >= most or t == steps - 1:
+                got = self.log_probs(np.concatenate(states), np.concatenate(targets))
+                out += np.bincount(np.concatenate(owners), got, minlength=len(docs))
+                states, targets, owners, size = [], [], [], 0
         return out
 
 
@@ -294,6 +304,19 @@ class Head:
     weight: np.ndarray  # training tokens by number, of the whole corpus
     members: int
 
+    def __post_init__(self) -> None:
+        """Where the hashes with each first PREFIX bits begin: they are evenly spread, so few follow there."""
+        self.begins = np.searchsorted(self.hashes, np.arange(1 << PREFIX, dtype=np.uint64) << np.uint64(64 - PREFIX)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The first place in ``hashes``, the last one at most, whose hash isn't below h; as np.searchsorted, with fewer looks."""
+        at = np.minimum(self.begins[(h >> np.uint64(64 - PREFIX)).astype(np.int32)], len(self.hashes) - 1)
+        below = np.flatnonzero((self.hashes[at] < h) & (at < len(self.hashes) - 1))
+        while len(below):
+            at[below] += 1
+            below = below[(self.hashes[at[below]] < h[below]) & (at[below] < len(self.hashes) - 1)]
+        return at
+
     @property
     def base(self) -> float:
         return np.log10(self.total + ALPHA * (self.distinct + 1))
@@ -369,7 +392,7 @@ def _tokens(head: Head, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     h = np.where(h == END, np.uint64(1), h)
     if not len(head.hashes):
         return np.full(len(h), head.other), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(head.hashes, h), len(head.hashes) - 1)
+    at = head.find(h)
     known = head.hashes[at] == h
     return np.where(known, head.tokens[at], head.other), at, known
 
