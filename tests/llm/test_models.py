@@ -2,8 +2,10 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -104,6 +106,36 @@ def test_calibration_and_views():
     assert ((p > 0.5) == (y > 0.5)).mean() > 0.85 and abs(p.mean() - y.mean()) < 0.1
 
 
+def test_co_training_holds_few_matrices(monkeypatch):
+    """All of it at once: the drawn documents and one matrix to fit on, no further copy of either."""
+    monkeypatch.setattr(quality, "fit", partial(quality.fit, steps=2))
+    rng = np.random.default_rng(2)
+    y = np.arange(1600) % 2.0
+    sample = lambda y: {"text": rng.random((len(y), quality.TEXT), np.float32) + y[:, None].astype("f4"), "meta": rng.random((len(y), quality.META), np.float32)}
+    views, sizes = sample(y), []
+
+    def draw(model, n):
+        more = np.arange(n) % 2.0
+        sizes.append(n)
+        return {v: (x, more) for v, x in sample(more).items()}
+
+    tracemalloc.start()
+    quality.co_train(views["text"], views["meta"], y, np.ones(1600), np.arange(1600) % 4 == 0, 0.0, draw)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sizes) == quality.ROUNDS and most < 2 * (1200 + sizes[-1]) * quality.TEXT * 4
+
+
+def test_quality_sends_the_driver_packed_features(spark, docs):
+    """What the driver unpacks is each row's features, and what it is sent is smaller."""
+    ids = [r["doc_id"] for r in docs.orderBy("doc_id").limit(40).collect()]
+    packed = quality._features(quality._inputs(docs), ids)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    assert sorted(packed) == ids and sum(map(len, packed.values())) < 40 * 4 * (quality.TEXT + quality.META) / 2
+    assert (quality._unpacked(packed, ids, "text") == np.stack([quality._text_features(rows[i]["text"]) for i in ids])).all()
+    assert (quality._unpacked(packed, ids, "meta") == np.stack([quality.meta_features(rows[i]["source"], rows[i]["lang"], rows[i]["n_chars"]) for i in ids])).all()
+
+
 def test_quality_against_plain_co_training(spark, monkeypatch):
     """Each document by itself, one view after the other; the pool is every document without a label."""
     monkeypatch.setattr(quality, "SURE", 0.8)

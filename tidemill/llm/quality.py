@@ -10,7 +10,9 @@ The labelled sample is bounded: PER_CLASS documents of each class, chosen by a h
 row, whole, in one pass a round. Of all that a view is sure of, a hash picks PER_ROUND of each class in the first round,
 twice as many in the second, and so on; rows with equal scores, as copies have, count as one there, so that a group of
 copies can't fill a round. Only ids of the sample and of what was picked are broadcast, a fixed number of them, and only
-their features go to the driver, 8 KB a document. The last scoring is one pass without a shuffle.
+their features go to the driver, compressed, 8 KB a document there at most. It unpacks of a document what the view needs
+that learns from it, and fits in place, so that it holds two such matrices at once. The last scoring is one pass without
+a shuffle.
 
 A document is kept if its probability of being good is at least KEEP. NULL texts count as empty, and NULL metadata is a
 value of its own. Of labelled rows with the same id the smallest text is learned from; each row is scored by itself.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import ngrams
-from tidemill.llm.common import drop, fresh, frugal, ship, stored
+from tidemill.llm.common import drop, fresh, frugal, release, ship, stored
 from tidemill.llm.shingles import word_hashes
 
 BITS = 11
@@ -73,19 +75,28 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _slices(n: int, size: int = 256) -> Iterator[slice]:
+    """So many rows or columns at a time: what is made of them in between stays small."""
+    return (slice(at, at + size) for at in range(0, n, size))
+
+
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 250) -> Linear:
-    """Full-batch Adam on standardized features; the few repeat shares count BOOST times, as each stands for many n-grams."""
-    mean, std = x.mean(axis=0), x.std(axis=0)
+    """Full-batch Adam on standardized features; the few repeat shares count BOOST times, as each stands for many n-grams.
+
+    x is overwritten by the standardized features.
+    """
+    mean, std = x.mean(axis=0), np.concatenate([x[:, part].std(axis=0) for part in _slices(x.shape[1])])
     scale = np.where(std > 0, 1 / np.maximum(std, LEAST_STD), 0).astype(np.float32)
     if x.shape[1] == TEXT:
         scale[1 << BITS :] *= BOOST
-    z = (x - mean) * scale
+    z = np.subtract(x, mean, out=x)
+    z *= scale
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
         d = (_sigmoid(z @ w + b) - y) * weight
-        g = np.append(d @ z + l2 * w, d.sum())
+        g = np.append(sum(d[part] @ z[part] for part in _slices(len(z))) + l2 * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
@@ -132,13 +143,20 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, share: np.ndarra
     for r in range(ROUNDS + 1):
         models = {}
         for v, x in views.items():
-            more, values = given[v]
-            xs, ys = np.concatenate((x[fit_on], more)), np.concatenate((y[fit_on], values))
-            ws = np.concatenate((share[fit_on], np.where(values > 0.5, share[y > 0.5].mean(), share[y < 0.5].mean())))
-            models[v] = calibrate(fit(xs, ys, ws), x[fold], y[fold], share[fold])
+            more, values = given.pop(v)
+            own = np.flatnonzero(fit_on)
+            xs, ys = np.empty((len(own) + len(more), x.shape[1]), np.float32), np.concatenate((y[own], values))
+            np.take(x, own, axis=0, out=xs[: len(own)], mode="clip")  # any other mode makes a copy first
+            xs[len(own) :] = more
+            del more
+            ws = np.concatenate((share[own], np.where(values > 0.5, share[y > 0.5].mean(), share[y < 0.5].mean())))
+            models[v] = fit(xs, ys, ws)
+            del xs
+            models[v] = calibrate(models[v], x[fold], y[fold], share[fold])
         model = Model(models["text"], models["meta"], prior)
         if r < ROUNDS:
-            given = draw(model, PER_ROUND * (r + 1))
+            release()
+            given = {**draw(model, PER_ROUND * (r + 1))}
     return model
 
 
@@ -160,15 +178,18 @@ def _text_features(text: str | None) -> np.ndarray:
 
 
 def _frequencies(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Counts to frequencies, with SHRINK n-grams of the mean text added."""
+    """Counts to frequencies, with SHRINK n-grams of the mean text added; x itself, overwritten."""
     c = x[:, : 1 << BITS]
-    return np.concatenate(((c + SHRINK * mean) / (c.sum(axis=1, keepdims=True) + SHRINK), x[:, 1 << BITS :]), axis=1).astype(np.float32)
+    n = c.sum(axis=1, keepdims=True) + SHRINK
+    c += SHRINK * mean
+    c /= n
+    return x
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, texts, langs, sources, sizes = (c.to_pylist() for c in b.columns)
-        x = [np.concatenate((_text_features(t), meta_features(s, g, n))).astype(np.float32).tobytes() for t, g, s, n in zip(texts, langs, sources, sizes, strict=True)]
+        x = [zlib.compress(np.concatenate((_text_features(t), meta_features(s, g, n))).astype(np.float32).tobytes(), 1) for t, g, s, n in zip(texts, langs, sources, sizes, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x, pa.binary())], names=["doc_id", "x"])
 
 
@@ -178,17 +199,23 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(one("doc_id", "long"), one("text", "string"), one("lang", "string"), one("source", "string"), one("n_chars", "long"))
 
 
-def _features(docs: DataFrame, ids: list[int]) -> tuple[list[int], np.ndarray]:
-    """Ids in order and their features, of rows whose doc_id is among ids: a bounded number of them."""
+def _features(docs: DataFrame, ids: list[int]) -> dict[int, bytes]:
+    """By id the features of rows whose doc_id is among ids, a bounded number of them, still compressed."""
     if not ids:
-        return [], np.zeros((0, TEXT + META), np.float32)
+        return {}
     wanted = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id long")
     one = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s"))
     got = one.select("doc_id", "s.*").mapInArrow(frugal(_featurize), "doc_id long, x binary").toArrow()
-    found = got.column("doc_id").to_pylist()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(found), -1)
-    order = np.argsort(np.array(found, np.int64), kind="stable")
-    return [found[i] for i in order], x[order]
+    return dict(zip(got.column("doc_id").to_pylist(), got.column("x").to_pylist(), strict=True))
+
+
+def _unpacked(packed: dict[int, bytes], ids: list[int], view: str) -> np.ndarray:
+    """What the view sees of the documents, a row for each of ids: counts and repeat shares, or metadata."""
+    at = slice(TEXT) if view == "text" else slice(TEXT, None)
+    out = np.empty((len(ids), TEXT if view == "text" else META), np.float32)
+    for i, doc_id in enumerate(ids):
+        out[i] = np.frombuffer(zlib.decompress(packed[doc_id]), np.float32)[at]
+    return out
 
 
 def picks(scored: DataFrame, n: int) -> DataFrame:
@@ -211,13 +238,12 @@ def _drawer(pool: DataFrame, mean: np.ndarray) -> Callable[[Model, int], Given]:
         scored = stored(score(pool, model).filter(sure).select("doc_id", "text_score", "meta_score"), "sure")
         got = picks(scored, n).collect()  # 4 n rows at most
         drop(scored)
-        ids, x = _features(pool, sorted({r["doc_id"] for r in got}))
-        row = {i: at for at, i in enumerate(ids)}
+        packed = _features(pool, sorted({r["doc_id"] for r in got}))
         out: Given = {}
         for v, other in (("text", "meta"), ("meta", "text")):
             label = {r["doc_id"]: r["label"] for r in got if r["view"] == other}
-            part = x[[row[i] for i in sorted(label)]]
-            out[v] = (_frequencies(part[:, :TEXT], mean) if v == "text" else part[:, TEXT:], np.array([label[i] for i in sorted(label)], np.float64))
+            x = _unpacked(packed, sorted(label), v)
+            out[v] = (_frequencies(x, mean) if v == "text" else x, np.array([label[i] for i in sorted(label)], np.float64))
         return out
 
     return draw
@@ -235,7 +261,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     labelled = picked[0].unionByName(picked[1]).toArrow().to_pydict()
     y_of = dict(zip(labelled["doc_id"], labelled["quality"], strict=True))
     rows = _inputs(docs)
-    ids, x = _features(rows, list(y_of))
+    packed = _features(rows, list(y_of))
+    ids = sorted(packed)
     y = np.array([y_of[i] for i in ids], np.float64)
     if len(set(y.tolist())) < 2:
         return None
@@ -246,13 +273,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         fold = fit_on = np.ones(len(y), bool)  # too few labels to hold any back: all serve for both
     else:
         fit_on = ~fold
-    c = x[:, : 1 << BITS]
-    mean = ((c / np.maximum(1, c.sum(axis=1, keepdims=True))) * share[:, None]).sum(axis=0).astype(np.float32)
+    text, meta = (_unpacked(packed, ids, v) for v in ("text", "meta"))
+    del packed
+    c = text[:, : 1 << BITS]
+    mean = sum((c[part] / np.maximum(1, c[part].sum(axis=1, keepdims=True)) * share[part, None]).sum(axis=0) for part in _slices(len(c))).astype(np.float32)
     # a row's id here is a hash of all of it, so that rows with equal or NULL ids stay apart
     mine = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id long")
     pool = rows.join(F.broadcast(mine), "doc_id", "left_anti").select(F.xxhash64(*rows.columns).alias("doc_id"), *rows.columns[1:])
-    model = co_train(_frequencies(x[:, :TEXT], mean), x[:, TEXT:], y, share, fold, float(np.log(shares[1] / shares[0])), _drawer(pool, mean), fit_on)
+    model = co_train(_frequencies(text, mean), meta, y, share, fold, float(np.log(shares[1] / shares[0])), _drawer(pool, mean), fit_on)
     model.text.mean = mean
+    del text, meta, c
+    release()
     return model
 
 
