@@ -67,7 +67,7 @@ def test_quantified_comparisons_have_keys(spark, sf_dir):
         assert plan(name, spark, sf_dir).count("BroadcastNestedLoopJoin") <= 1, name  # the row of totals
 
 
-@pytest.mark.parametrize("name", ["sub_correlated_topn"])
+@pytest.mark.parametrize("name", ["sub_correlated_topn", "sub_lateral"])
 def test_correlated_limits_state_their_order(name, spark, sf_dir):
     text = plan(name, spark, sf_dir)
     assert "WindowGroupLimit [o_custkey" in text and "o_totalprice" in text.split("Window [row_number()")[1].split("\n")[0], name

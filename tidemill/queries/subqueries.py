@@ -58,6 +58,10 @@ def _dearest_one(t: Catalog) -> DataFrame:
     return t.customer.join(_dearest(t, 1), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("o_orderkey").alias("best"))
 
 
+def _dearest_two(t: Catalog) -> DataFrame:
+    return t.customer.join(_dearest(t, 2), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
+
+
 QUERIES = [
     Query("sub_exists", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 350000)"),
     Query("sub_not_exists", "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P')"),
@@ -80,7 +84,7 @@ QUERIES = [
     Query("sub_scalar_count_zero", "select n_nationkey, (select count(*) from supplier s where s.s_nationkey = n.n_nationkey and s.s_acctbal > 9000) as n from nation n"),
     Query("sub_scalar_having", f"select l_suppkey, {total(m('l_extendedprice'))} as rev from lineitem group by l_suppkey having sum({m('l_extendedprice')}) > (select sum({m('l_extendedprice')}) / 90 from lineitem)"),
     Query("sub_correlated_topn", _dearest_one, "select c_custkey, (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 1) as best from customer c"),
-    Query("sub_lateral", "select c.c_custkey, t.o_orderkey from customer c, lateral (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 2) t"),
+    Query("sub_lateral", _dearest_two, "select c.c_custkey, t.o_orderkey from customer c, lateral (select o_orderkey from orders o where o.o_custkey = c.c_custkey order by o_totalprice desc, o_orderkey limit 2) t"),
     Query("sub_derived_grouped", f"select c.c_mktsegment, cast(sum(t.n) as bigint) as n from customer c join (select o_custkey, count(*) as n from orders group by o_custkey) t on c.c_custkey = t.o_custkey group by c.c_mktsegment"),
     Query("cte_reused", "with o as (select o_custkey, count(*) as n from orders group by o_custkey) select a.o_custkey from o a where a.n = (select max(n) from o)"),
     Query("cte_nested", "with a as (select c_custkey, c_nationkey from customer where c_acctbal > 0), b as (select c_nationkey, count(*) as n from a group by c_nationkey) select b.c_nationkey, b.n from b where exists (select 1 from a where a.c_nationkey = b.c_nationkey)"),
