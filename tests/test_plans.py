@@ -35,6 +35,11 @@ def test_aggregates_combine_before_the_shuffle(spark, sf_dir):
     assert names.count("HashAggregate") == 2 and names.count("Exchange") <= 2
 
 
+def test_sketch_is_kept_once_a_group(spark, sf_dir):
+    keyed = [line for line in plan("agg_approximate", spark, sf_dir).split("\n") if "Aggregate(keys=" in line and "l_partkey" in line.split("keys=")[1].split("]")[0]]
+    assert len(keyed) == 2 and all("functions=[]" in line for line in keyed), keyed
+
+
 def test_disjunction_reaches_the_scan(spark, sf_dir):
     text = plan("q19", spark, sf_dir)
     assert "Or(" in text.split("PushedFilters")[1]

@@ -172,3 +172,15 @@ def test_asof_and_range_joins(spark):
     spans = spark.createDataFrame([(1, 0.0, 10.0), (2, 9.5, 31.0), (3, -5.0, -3.0), (4, 4.0, 4.0), (5, None, 1.0)], "r int, low double, high double")
     got = {(r["x"], r["r"]) for r in range_join(points, spans, "x", "low", "high", 7).collect()}
     assert got == {(1.0, 1), (9.9, 1), (9.9, 2), (10.0, 2)}
+
+
+def test_approximate_count_over_nulls_and_repeats(spark, tmp_path):
+    from tidemill.queries import ALL
+
+    rows = "select case when id % 5 < 4 then substring('ARN', cast(id % 3 + 1 as int), 1) end as l_returnflag, case when id % 7 > 0 then id % 900 end as l_partkey from range(9000) union all select 'X', null from range(3)"
+    spark.sql(rows).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = ALL["agg_approximate"].run(spark, str(tmp_path))
+    want = spark.sql(ALL["agg_approximate"].oracle)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() == 5
+    whole, once = (spark.sql(f"select l_returnflag, approx_count_distinct(l_partkey) as n from {t} group by l_returnflag") for t in ("lineitem", "(select distinct l_returnflag, l_partkey from lineitem) t"))
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
