@@ -184,3 +184,16 @@ def test_approximate_count_over_nulls_and_repeats(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() == 5
     whole, once = (spark.sql(f"select l_returnflag, approx_count_distinct(l_partkey) as n from {t} group by l_returnflag") for t in ("lineitem", "(select distinct l_returnflag, l_partkey from lineitem) t"))
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", ["sub_correlated_topn", "sub_lateral"])
+def test_dearest_orders_with_nulls_ties_and_repeats(name, spark, tmp_path):
+    from tidemill.queries import ALL
+
+    spark.sql("select * from values (1L), (1L), (2L), (3L), (4L), (null) c(c_custkey)").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = "(10L, 1L, 5D), (11L, 1L, 5D), (null, 1L, 5D), (12L, 1L, null), (20L, 2L, null), (21L, 2L, 1D), (30L, 3L, 2D), (null, 3L, 2D), (31L, 3L, double('nan')), (40L, null, 9D), (50L, 5L, 9D)"
+    spark.sql(f"select * from values {rows} o(o_orderkey, o_custkey, o_totalprice)").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert_same(ALL[name].run(spark, str(tmp_path)), con, ALL[name].oracle)
